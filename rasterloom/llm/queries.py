@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import common, lines, mixing, sentence_pieces, token_counts
+
+#: The tokenizer of the token count and SentencePiece queries.
+MODEL = "piece_bpe_32k.model"
 
 
 def _docs(spark, sf_dir):
@@ -13,8 +19,27 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_line_dedup(spark, sf_dir):
+    out = lines.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"), min_docs=10, least=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op2_token_counts(spark, sf_dir):
+    # A cache of its own, so that each call encodes the whole table.
+    return token_counts.token_counts(_docs(spark, sf_dir), public_tokenizers.path(MODEL), common.new_path(spark, "token-cache"))
+
+
+def op8_sentence_pieces(spark, sf_dir):
+    return sentence_pieces.encode_decode(_docs(spark, sf_dir), public_tokenizers.path(MODEL), digests=True)
+
+
 def queries():
-    return {"op9_mixing": op9_mixing}
+    return {
+        "op2_token_counts": op2_token_counts,
+        "op5_line_dedup": op5_line_dedup,
+        "op8_sentence_pieces": op8_sentence_pieces,
+        "op9_mixing": op9_mixing,
+    }
 
 
 OP9_SQL = r"""
@@ -38,5 +63,16 @@ from d join e on d.source is not distinct from e.source left join t on d.source
 """
 
 
+OP5_SQL = r"""
+with t as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+l as (select row, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from t),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+b as (select key from k where key <> '' group by key having count(distinct row) >= 10)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (where bad)::bigint as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not bad), '')) as kept_sha256
+from (select k.*, key in (select key from b) as bad from k) group by row, doc_id
+"""
+
+
 def oracle_sql():
-    return {"op9_mixing": OP9_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op9_mixing": OP9_SQL}

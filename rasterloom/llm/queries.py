@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import common, lines, mixing, sentence_pieces, token_counts
+from . import common, language_id, lines, mixing, quality, sentence_pieces, token_counts
 
 #: The tokenizer of the token count and SentencePiece queries.
 MODEL = "piece_bpe_32k.model"
@@ -19,6 +19,15 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_language_id(spark, sf_dir):
+    return language_id.language_id(_docs(spark, sf_dir))
+
+
+def op4_quality(spark, sf_dir):
+    out = quality.judged(_docs(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance2", 6).alias("distance2"))
+
+
 def op5_line_dedup(spark, sf_dir):
     out = lines.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"), min_docs=10, least=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -35,7 +44,9 @@ def op8_sentence_pieces(spark, sf_dir):
 
 def queries():
     return {
+        "op1_language_id": op1_language_id,
         "op2_token_counts": op2_token_counts,
+        "op4_quality": op4_quality,
         "op5_line_dedup": op5_line_dedup,
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_mixing": op9_mixing,

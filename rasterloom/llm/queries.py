@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import common, language_id, lines, mixing, quality, sentence_pieces, token_counts
+from . import common, jaccard, language_id, lines, mixing, quality, sentence_pieces, token_counts
 
 #: The tokenizer of the token count and SentencePiece queries.
 MODEL = "piece_bpe_32k.model"
@@ -38,6 +38,10 @@ def op2_token_counts(spark, sf_dir):
     return token_counts.token_counts(_docs(spark, sf_dir), public_tokenizers.path(MODEL), common.new_path(spark, "token-cache"))
 
 
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(_docs(spark, sf_dir), percent=80, words=5)
+
+
 def op8_sentence_pieces(spark, sf_dir):
     return sentence_pieces.encode_decode(_docs(spark, sf_dir), public_tokenizers.path(MODEL), digests=True)
 
@@ -48,6 +52,7 @@ def queries():
         "op2_token_counts": op2_token_counts,
         "op4_quality": op4_quality,
         "op5_line_dedup": op5_line_dedup,
+        "op6_jaccard_join": op6_jaccard_join,
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_mixing": op9_mixing,
     }
@@ -85,5 +90,18 @@ from (select k.*, key in (select key from b) as bad from k) group by row, doc_id
 """
 
 
+OP6_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i : i + 4], ' ') end as s
+    from (select doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on l.a = r.b)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.c as component_id
+from documents d left join n on n.doc_id = d.doc_id join (select a, min(b) as c from r group by a) m on m.a = d.doc_id
+"""
+
+
 def oracle_sql():
-    return {"op5_line_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op9_mixing": OP9_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import common, jaccard, language_id, lines, mixing, quality, sentence_pieces, token_counts
+from . import common, flac, jaccard, language_id, lines, mixing, quality, sentence_pieces, token_counts
 
 #: The tokenizer of the token count and SentencePiece queries.
 MODEL = "piece_bpe_32k.model"
@@ -46,6 +46,10 @@ def op8_sentence_pieces(spark, sf_dir):
     return sentence_pieces.encode_decode(_docs(spark, sf_dir), public_tokenizers.path(MODEL), digests=True)
 
 
+def op10_flac(spark, sf_dir):
+    return flac.round_trip(_docs(spark, sf_dir))
+
+
 def queries():
     return {
         "op1_language_id": op1_language_id,
@@ -55,6 +59,7 @@ def queries():
         "op6_jaccard_join": op6_jaccard_join,
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_mixing": op9_mixing,
+        "op10_flac": op10_flac,
     }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import common, flac, jaccard, language_id, lines, mixing, quality, sentence_pieces, token_counts
+from . import common, flac, jaccard, language_id, lines, mixing, quality, sentence_pieces, suffixes, token_counts
 
 #: The tokenizer of the token count and SentencePiece queries.
 MODEL = "piece_bpe_32k.model"
@@ -42,6 +42,11 @@ def op6_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(_docs(spark, sf_dir), percent=80, words=5)
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    out = suffixes.remove_repeats(_docs(spark, sf_dir), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_sentence_pieces(spark, sf_dir):
     return sentence_pieces.encode_decode(_docs(spark, sf_dir), public_tokenizers.path(MODEL), digests=True)
 
@@ -57,6 +62,7 @@ def queries():
         "op4_quality": op4_quality,
         "op5_line_dedup": op5_line_dedup,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_mixing": op9_mixing,
         "op10_flac": op10_flac,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import common, flac, jaccard, language_id, lines, mixing, quality, sentence_pieces, suffixes, token_counts
+from . import common, flac, jaccard, language_id, licenses, lines, mixing, quality, sentence_pieces, suffixes, token_counts
 
 #: The tokenizer of the token count and SentencePiece queries.
 MODEL = "piece_bpe_32k.model"
@@ -23,6 +23,10 @@ def op1_language_id(spark, sf_dir):
     return language_id.language_id(_docs(spark, sf_dir))
 
 
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(_docs(spark, sf_dir), licenses.known(spark), of_lines=True)
+
+
 def op4_quality(spark, sf_dir):
     out = quality.judged(_docs(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance2", 6).alias("distance2"))
@@ -59,6 +63,7 @@ def queries():
     return {
         "op1_language_id": op1_language_id,
         "op2_token_counts": op2_token_counts,
+        "op3_license_scan": op3_license_scan,
         "op4_quality": op4_quality,
         "op5_line_dedup": op5_line_dedup,
         "op6_jaccard_join": op6_jaccard_join,
@@ -90,6 +95,26 @@ from d join e on d.source is not distinct from e.source left join t on d.source
 """
 
 
+def _canonical_sql(text: str) -> str:
+    t = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[^\p{{L}}\n]*(copyright|©|\(c\))[^\n]*$', ' ', 'g')"
+    t = rf"' ' || regexp_replace({t}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g') || ' '"
+    for old, new in licenses.SPELLINGS:
+        t = f"replace({t}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+    return f"sha256(trim(regexp_replace({t}, ' +', ' ', 'g'), ' '))"
+
+
+def _op3_sql() -> str:
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())
+    return f"""
+with k as (select {_canonical_sql("text")} as digest, min(id) as license_id from (values {rows}) v(id, text) group by 1),
+d as (select doc_id, text, {_canonical_sql("text")} as digest from documents),
+l as (select doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(lower(x), 'licen[sc]e|permission'))) as line from documents),
+n as (select doc_id, count(*) as n from l where {_canonical_sql("line")} in (select digest from k) group by doc_id)
+select d.doc_id, d.digest as canonical_sha256, k.license_id, coalesce(n.n, 0)::bigint as n_license_lines
+from d left join k on k.digest = d.digest left join n on n.doc_id = d.doc_id
+"""
+
+
 OP5_SQL = r"""
 with t as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
 l as (select row, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from t),
@@ -115,4 +140,4 @@ from documents d left join n on n.doc_id = d.doc_id join (select a, min(b) as c
 
 
 def oracle_sql():
-    return {"op5_line_dedup": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op9_mixing": OP9_SQL}
+    return {"op3_license_scan": _op3_sql(), "op5_line_dedup": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op9_mixing": OP9_SQL}

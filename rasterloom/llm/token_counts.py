@@ -92,6 +92,7 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 4096, id_r
         new = encoded(todo, path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
         new.select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     # Appended twice by jobs that ran at once, a digest still counts once.
-    counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written first, so that both sides of the join come straight from exchanges and Spark can split a hot digest.
+    counts = common.written(stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     out = own.join(counts.hint("merge"), "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

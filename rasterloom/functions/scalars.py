@@ -112,12 +112,17 @@ def round_time(ts: Column, to: str) -> Column:
     if to == "none":
         return ts
     if to == "10min":
-        return F.timestamp_micros((F.floor(F.unix_micros(ts) / 600_000_000) * 600_000_000).cast("bigint"))
+        return F.timestamp_micros((F.floor(micros(ts) / 600_000_000) * 600_000_000).cast("bigint"))
     return F.date_trunc(to, ts)
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a timestamp, with or without a time zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def seconds_between(a: Column, b: Column) -> Column:
-    return (F.unix_micros(b) - F.unix_micros(a)) / 1e6
+    return (micros(b) - micros(a)) / 1e6
 
 
 def seconds_to_interval(ts: Column, start: Column, end: Column) -> Column:
@@ -126,7 +131,7 @@ def seconds_to_interval(ts: Column, start: Column, end: Column) -> Column:
 
 
 def midpoint_distance(ts: Column, start: Column, end: Column) -> Column:
-    return F.abs(F.unix_micros(ts) - (F.unix_micros(start) + F.unix_micros(end)) / 2) / 1e6
+    return F.abs(micros(ts) - (micros(start) + micros(end)) / 2) / 1e6
 
 
 def pair_id(mode: str, label: Column, ts: Column) -> Column:

@@ -6,6 +6,7 @@ nine cells around it, and the exact distance decides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,10 +118,10 @@ def bucket_max(points: DataFrame, west: float, north: float, res: float, value:
 def swath_to_grid(points: DataFrame, box: Sequence[float], res: float, how: str = "max", value: str = "value") -> DataFrame:
     """Points of a swath onto the grid of a box (west, south, east, north). Points on its east and south edges fall out."""
     west, south, east, north = box
-    w, h = -(-(east - west) // res), -(-(north - south) // res)
+    w, h = (math.ceil(round((b - a) / res, 9)) for a, b in ((west, east), (south, north)))
     x, y = F.floor((F.col("lon") - west) / res).cast("int"), F.floor((F.lit(north) - F.col("lat")) / res).cast("int")
     agg = {"max": F.max, "sum": F.sum, "mean": F.avg}[how]
-    return points.select(y.alias("y"), x.alias("x"), value).where(F.col("x").between(0, int(w) - 1) & F.col("y").between(0, int(h) - 1)).groupBy("y", "x").agg(agg(value).alias(value))
+    return points.select(y.alias("y"), x.alias("x"), value).where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1)).groupBy("y", "x").agg(agg(value).alias(value))
 
 
 def bilinear(source: DataFrame, targets: DataFrame, km: float, key: Sequence[str], value: str = "value") -> DataFrame:

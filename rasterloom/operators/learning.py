@@ -45,9 +45,9 @@ def encode(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], features: s
     def run(frames):
         for f in frames:
             z = model(np.stack(f[features].to_numpy()).astype(float)) if len(f) else np.zeros((0, 1))
-            yield f.assign(**{out: list(z)})
+            yield f.drop(columns=[out], errors="ignore").assign(**{out: list(z)})
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out)
     return df.mapInPandas(run, f"{kinds}, {out} array<double>")
 
 

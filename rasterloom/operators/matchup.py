@@ -13,11 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import midpoint_distance, seconds_between, seconds_to_interval
+from ..functions.scalars import micros, midpoint_distance, seconds_between, seconds_to_interval
 
 
 def _bucket(ts, seconds: float):
-    return F.floor(F.unix_micros(ts) / F.lit(int(seconds * 1_000_000)))
+    return F.floor(micros(ts) / F.lit(int(seconds * 1_000_000)))
 
 
 def candidates(targets: DataFrame, others: DataFrame, by: Sequence[str], seconds: float) -> DataFrame:
@@ -78,12 +78,13 @@ def interval_match(points: DataFrame, intervals: DataFrame, key: Sequence[str],
     An interval without ends is its whole day. Intervals are copied to the buckets of ``span`` seconds that they and their
     margin touch; one join serves both cases, since containing intervals are those at distance 0.
     """
-    day = F.date_trunc("day", F.col("day"))
-    i = intervals.withColumn("start", F.coalesce("start", day)).withColumn("end", F.coalesce("end", F.col("start") + F.expr("INTERVAL 86400 SECONDS")))
+    day = F.col("day").cast("timestamp")
+    i = intervals.withColumn("start", F.coalesce(F.col("start").cast("timestamp"), day)).withColumn("end", F.col("end").cast("timestamp"))
+    i = i.withColumn("end", F.coalesce("end", F.col("start") + F.expr("INTERVAL 86400 SECONDS")))
     micro = int(span * 1_000_000)
-    lo, hi = F.floor((F.unix_micros("start") - F.lit(int(most * 1e6))) / micro), F.floor((F.unix_micros("end") + F.lit(int(most * 1e6))) / micro)
+    lo, hi = F.floor((micros(F.col("start")) - F.lit(int(most * 1e6))) / micro), F.floor((micros(F.col("end")) + F.lit(int(most * 1e6))) / micro)
     i = i.withColumn("_b", F.explode(F.sequence(lo, hi)))
-    p = points.withColumn("_b", F.floor(F.unix_micros("ts") / micro))
+    p = points.withColumn("_b", F.floor(micros(F.col("ts")) / micro))
     c = p.join(i.drop("day"), [*by, "_b"]).withColumn("away", seconds_to_interval(F.col("ts"), F.col("start"), F.col("end"))).where(F.col("away") <= most)
     mid = midpoint_distance(F.col("ts"), F.col("start"), F.col("end"))
     order = F.struct("away", mid.alias("mid"), seconds_between(F.col("start"), F.col("end")).alias("duration"), F.col(path))

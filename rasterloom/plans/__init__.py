@@ -1 +1,4 @@
-"""See the modules of this package."""
+"""All queries and their SQL."""
+
+from . import pixel_queries, record_queries  # noqa: F401
+from .views import QUERIES, SQL  # noqa: F401

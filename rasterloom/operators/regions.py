@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine_km
+from ..storage import dropped, written
 
 BLOCK = 256
 
@@ -48,7 +49,7 @@ def labelled(df: DataFrame, eight: bool = True, block: int = BLOCK) -> DataFrame
 
     b = df.select(F.col("scene").cast("bigint").alias("scene"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
     b = b.withColumns({"_by": F.floor(F.col("y") / block), "_bx": F.floor(F.col("x") / block)})
-    parts = b.groupBy("scene", "_by", "_bx").applyInPandas(run, "scene bigint, y int, x int, part bigint").persist()
+    parts = written(b.groupBy("scene", "_by", "_bx").applyInPandas(run, "scene bigint, y int, x int, part bigint"), "parts")
     # Pixels at block borders, joined to their neighbours in other blocks.
     edge = parts.where((F.col("y") % block).isin(0, block - 1) | (F.col("x") % block).isin(0, block - 1))
     steps = [(0, 1), (1, 0), *(((1, 1), (1, -1)) if eight else ())]
@@ -62,15 +63,16 @@ def labelled(df: DataFrame, eight: bool = True, block: int = BLOCK) -> DataFrame
 
 def _roots(links: DataFrame) -> DataFrame:
     """(scene, part, root) of parts linked across borders: labels take the least neighbouring label until none changes."""
-    both = links.select("scene", "a", "b").unionByName(links.select("scene", F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    label = both.groupBy("scene", F.col("a").alias("part")).agg(F.least(F.min("b"), F.min("a")).alias("root")).persist()
+    both = written(links.select("scene", "a", "b").unionByName(links.select("scene", F.col("b").alias("a"), F.col("a").alias("b"))), "part-links")
+    label = written(both.groupBy("scene", F.col("a").alias("part")).agg(F.least(F.min("b"), F.min("a")).alias("root")), "roots")
     while True:
         seen = both.join(label.select("scene", F.col("part").alias("b"), "root"), ["scene", "b"]).groupBy("scene", F.col("a").alias("part")).agg(F.min("root").alias("near"))
         new = label.join(seen, ["scene", "part"]).select("scene", "part", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("changed"))
         # Pointer jumping: a label's own label.
-        jump = new.select("scene", F.col("part").alias("root"), F.col("root").alias("further"))
-        new = new.join(jump, ["scene", "root"], "left").select("scene", "part", F.least("root", F.coalesce("further", "root")).alias("root"), "changed").persist()
+        jump = label.select("scene", F.col("part").alias("root"), F.col("root").alias("further"))
+        new = written(new.join(jump, ["scene", "root"], "left").select("scene", "part", F.least("root", F.coalesce("further", "root")).alias("root"), "changed"), "roots")
         more = new.agg(F.max(F.col("changed").cast("int"))).first()[0]
+        dropped(label)
         label = new.select("scene", "part", "root")
         if not more:
             return label

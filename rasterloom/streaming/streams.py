@@ -38,7 +38,7 @@ def daily_product(stream: DataFrame, by: Sequence[str], path: str, checkpoint: s
 
 def assembled(stream: DataFrame, by: str, member: str, n: int, delay: str = "1 hour") -> DataFrame:
     """Start times whose scene has all n channels, once the watermark has passed them; incomplete ones are never given out."""
-    w = stream.withWatermark(by, delay).groupBy(F.window(by, "1 second"), by).agg(F.size(F.collect_set(member)).alias("n"))
+    w = stream.withWatermark(by, delay).groupBy(by).agg(F.size(F.collect_set(member)).alias("n"))
     return w.where(F.col("n") == n).select(by, "n")
 
 

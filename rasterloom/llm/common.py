@@ -11,14 +11,11 @@ Conventions of every operator in this subpackage
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import dropped, new_path, shared_dir, written  # noqa: F401
+
 #: Rows up to which a column of ids is broadcast (a hash relation of some 32 bytes a row); beyond it, a shuffle join.
 BROADCAST_ROWS = 1_000_000
 
@@ -28,39 +25,6 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests, local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-        atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rasterloom-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts the lineage, and is computed once."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.__dict__["_own_path"] = path
-    return out
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Deletes tables made by written() that no lazy result needs any more."""
-    for df in frames:
-        path = df.__dict__.get("_own_path")
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def column(df: DataFrame, name: str, kind: str):
     """The named column, or a null of that type where there is none."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)

@@ -86,10 +86,11 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 4096, id_r
     if total:
         if n <= total - n:
             todo = common.joined_by_size(docs, misses.distinct(), "doc_id", "left_semi", n, id_rows)
-            todo = todo.unionByName(docs.where("doc_id is null"))
         else:  # the documents that needn't be encoded are fewer
             todo = common.without(docs, own.join(misses.hint("merge"), "doc_id", "left_anti").select("doc_id").distinct(), None)
-        new = encoded(todo, path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        # Rows without an id can't be looked up by it: those whose digest isn't stored are encoded too.
+        rest = encoded(docs.where("doc_id is null"), path).join(stored().select("digest"), "digest", "left_anti")
+        new = encoded(todo.where("doc_id is not null"), path).unionByName(rest).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
         new.select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     # Appended twice by jobs that ran at once, a digest still counts once.
     # Written first, so that both sides of the join come straight from exchanges and Spark can split a hot digest.

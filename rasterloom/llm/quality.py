@@ -4,9 +4,8 @@ Base rules reject documents with too few words or too much repetition. The rest
 minimum-covariance-determinant estimate of the transformed statistics gives a centre and scatter that junk can't pull
 towards itself, and documents far off in the junk's directions by Mahalanobis distance go.
 
-The estimates cover all documents. A concentration step is two aggregates over the table of statistics: a histogram of
-distances by group finds the half with the smallest, and sums of integers over that half give the next centre and
-scatter. Statistics are fixed-point integers, so sums don't depend on the order of rows and reruns agree. No group's rows
+The estimates cover all documents. A concentration step is one aggregate over the table of statistics: moments by group
+and bin of distance; the bins with the smallest distances that hold the wanted share give the next centre and scatter. Statistics are fixed-point integers, so sums don't depend on the order of rows and reruns agree. No group's rows
 come together in one task; a group's moments are one row.
 """
 
@@ -15,7 +14,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +34,8 @@ LEAST = 200
 #: Squared distance above which a document goes. The 1 - 1e-9 quantile of chi-squared with 5 degrees of freedom is 50.8;
 #: real statistics have longer tails than the normal, so the limit is above it.
 CUTOFF = 80.0
+#: Groups whose fits may be broadcast (some 300 bytes each).
+GROUP_ROWS = 100_000
 #: Histogram bins of the logarithm of the squared distance.
 BINS = 64
 
@@ -101,11 +101,11 @@ def transformed():
 _PAIRS = [(i, j) for i in range(5) for j in range(i, 5)]
 
 
-def moments(df: DataFrame) -> DataFrame:
+def moments(*by: str):
     """Count, sums and sums of products of the statistics by group: exact integers, partial sums before the shuffle."""
     sums = [F.sum(k).alias(f"s{i}") for i, k in enumerate(STATS)]
     products = [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"p{i}{j}") for i, j in _PAIRS]
-    return df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+    return lambda df: df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
 
 
 def consistency(share: float, dims: int = 5) -> float:
@@ -126,25 +126,31 @@ def consistency(share: float, dims: int = 5) -> float:
     return share / below(lo, dims + 2)
 
 
-def fitted(sums: DataFrame, factor: float) -> DataFrame:
-    """g, n, centre and the inverse scatter (25 numbers) from the moments of each group."""
+FIT = "g string, n bigint, centre array<double>, inverse array<double>"
 
-    def run(frames):
-        for f in frames:
-            if len(f):
-                n = f.n.to_numpy(float)[:, None]
-                mean = f[[f"s{i}" for i in range(5)]].to_numpy(float) / n
-                cov = np.zeros((len(f), 5, 5))
-                for i, j in _PAIRS:
-                    cov[:, i, j] = cov[:, j, i] = f[f"p{i}{j}"].to_numpy(float) / n[:, 0] - mean[:, i] * mean[:, j]
-                cov = cov * factor / SCALE**2
-                floor = np.array(FLOOR) ** 2
-                d = np.arange(5)
-                cov[:, d, d] = np.maximum(cov[:, d, d], 0) + floor
-                inv = np.linalg.inv(cov)
-                yield pd.DataFrame({"g": f.g, "n": f.n, "centre": list(mean / SCALE), "inverse": list(inv.reshape(-1, 25))})
 
-    return sums.mapInPandas(run, "g string, n bigint, centre array<double>, inverse array<double>")
+def _fit_row(g: str, n: int, centre: np.ndarray, inverse: np.ndarray) -> pa.Table:
+    return pa.table({"g": pa.array([g], pa.string()), "n": pa.array([n], pa.int64()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "inverse": pa.array([inverse.ravel().tolist()], pa.list_(pa.float64()))})
+
+
+def _concentrated(half: float, factor: float):
+    """The next fit of a group from its moments by distance bin: those of the bins up to the one that completes the half."""
+    def run(t: pa.Table) -> pa.Table:
+        o = np.argsort(t.column("bin").to_numpy())
+        count = t.column("n").to_numpy()[o]
+        k = int(np.searchsorted(np.cumsum(count), half * count.sum())) + 1
+        total = lambda name: sum(int(v) for v in t.column(name).to_numpy()[o][:k])
+        n = int(count[:k].sum())
+        mean = np.array([total(f"s{i}") for i in range(5)], float) / n
+        cov = np.zeros((5, 5))
+        for i, j in _PAIRS:
+            cov[i, j] = cov[j, i] = total(f"p{i}{j}") / n - mean[i] * mean[j]
+        cov = cov * factor / SCALE**2
+        d = np.arange(5)
+        cov[d, d] = np.maximum(cov[d, d], 0) + np.array(FLOOR) ** 2
+        return _fit_row(t.column("g")[0].as_py(), int(count.sum()), mean / SCALE, np.linalg.inv(cov))
+
+    return run
 
 
 def distance():
@@ -158,48 +164,50 @@ def _bin(d2):
     return F.least(F.lit(8 * BINS), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(d2, F.lit(1e-9))) * 8).cast("int") + 32))
 
 
+def _medians(t: pa.Table) -> pa.Table:
+    """The first fit of a group: the median and median deviation of each statistic, from its histograms."""
+    k, b, n = (t.column(c).to_numpy() for c in ("k", "b", "n"))
+    centre, spread = np.zeros(5), np.zeros(5)
+
+    def middle(values, weights):
+        o = np.argsort(values, kind="stable")
+        return values[o][np.searchsorted(weights[o].cumsum(), weights.sum() / 2)]
+
+    for i in range(5):
+        own = k == i
+        v = (b[own] + 0.5) * 16 / SCALE
+        centre[i] = middle(v, n[own])
+        spread[i] = 1.4826 * middle(np.abs(v - centre[i]), n[own])
+    return _fit_row(t.column("g")[0].as_py(), int(n[k == 0].sum()), centre, np.diag(1 / (spread**2 + np.array(FLOOR) ** 2)))
+
+
 def start(df: DataFrame) -> DataFrame:
-    """Robust first centre and scatter: medians and median deviations by group, from exact histograms of each statistic."""
+    """Robust first centre and scatter of each group, from exact histograms of each statistic."""
     long = df.select("g", F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.floor(F.col(c) / 16).cast("int").alias("b")) for i, c in enumerate(STATS)))).alias("e"))
     hist = long.groupBy("g", F.col("e.k").alias("k"), F.col("e.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return hist.groupBy("g").applyInArrow(_medians, FIT)
 
-    def run(frames):
-        f = pd.concat(list(frames))
-        out = {}
-        for g, own in f.groupby("g"):
-            centre, spread = np.zeros(5), np.zeros(5)
-            for k, h in own.groupby("k"):
-                v, n = (h.b.to_numpy() + 0.5) * 16 / SCALE, h.n.to_numpy()
-                middle = lambda a: a[o := np.argsort(a)][np.searchsorted(n[o].cumsum(), n.sum() / 2)]  # noqa: B023, E731
-                centre[k] = middle(v)
-                spread[k] = 1.4826 * middle(np.abs(v - centre[k]))
-            out[g] = (int(own[own.k == 0].n.sum()), centre, np.diag(1 / (spread**2 + np.array(FLOOR) ** 2)).reshape(25))
-        yield pd.DataFrame({"g": list(out), "n": [o[0] for o in out.values()], "centre": [o[1] for o in out.values()], "inverse": [o[2] for o in out.values()]})
 
-    def whole(key, f):
-        return next(run([f]))
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """One row a group: broadcast up to GROUP_ROWS, else joined by shuffle."""
+    return F.broadcast(df) if rows <= GROUP_ROWS else df
 
-    return hist.groupBy("g").applyInPandas(lambda f: whole(None, f), "g string, n bigint, centre array<double>, inverse array<double>")
 
+def with_group(df: DataFrame, fits: DataFrame, rows: int, how: str = "inner") -> DataFrame:
+    f = fits.select(F.col("g").alias("_g"), "centre", "inverse")
+    return df.join(small(f, rows), F.col("g") == F.col("_g"), how).drop("_g")
 
-def with_group(df: DataFrame, fits: DataFrame) -> DataFrame:
-    return df.join(fits.select(F.col("g").alias("_g"), F.col("n").alias("_n"), "centre", "inverse"), F.col("g") == F.col("_g")).drop("_g")
 
+def estimates(stats: DataFrame, rows: int, steps: int = STEPS, half: float = HALF) -> DataFrame:
+    """g, n, centre, inverse of each group after ``steps`` concentration steps over all its rows.
 
-def estimates(stats: DataFrame, steps: int = STEPS, half: float = HALF) -> DataFrame:
-    """g, n, centre, inverse of each group after ``steps`` concentration steps over all its rows."""
+    A step is one pass: moments by group and distance bin, at most 8 * BINS + 1 rows a group, then one fit a group.
+    """
     fits = common.written(start(stats), "mcd")
-    factor = consistency(half)
+    nearest = _concentrated(half, consistency(half))
     for _ in range(steps):
-        d = with_group(stats, fits).withColumn("bin", _bin(distance()))
-        hist = d.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("c"))
-        # At most 8 * BINS + 1 rows a group; the half's last bin, by counts.
-        edge = hist.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("bin", "c"))).alias("h"), F.sum("c").alias("t"))
-        run = F.aggregate("h", F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(-1).alias("edge")), lambda a, e: F.struct(
-            (a["upto"] + e["c"]).alias("upto"), F.when(a["upto"] < F.col("t") * half, e["bin"]).otherwise(a["edge"]).alias("edge")))
-        edge = edge.select(F.col("g").alias("eg"), run["edge"].alias("edge"))
-        inside = d.join(edge, (F.col("g") == F.col("eg")) & (F.col("bin") <= F.col("edge")))
-        new = common.written(fitted(moments(inside), factor), "mcd")
+        d = with_group(stats, fits, rows).withColumn("bin", _bin(distance()))
+        new = common.written(moments("g", "bin")(d).groupBy("g").applyInArrow(nearest, FIT), "mcd")
         common.dropped(fits)
         fits = new
     return fits
@@ -229,13 +237,13 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataF
     keyed = s.select("keys").distinct().select("keys", F.posexplode("keys").alias("pos", "g"))
     chosen = keyed.join(sizes.select("g"), "g").groupBy("keys").agg(F.min_by("g", "pos").alias("g"))
     chosen = common.written(chosen, "quality")
-    placed = s.join(chosen.withColumnRenamed("keys", "_keys"), F.col("keys") == F.col("_keys"), "left").drop("_keys")
+    placed = s.join(small(chosen.withColumnRenamed("keys", "_keys"), chosen.count()), F.col("keys") == F.col("_keys"), "left").drop("_keys")
     # A coarse group is estimated from all its documents, also from those that finer groups judge.
     used = chosen.select("g").distinct()
-    member = good.select(F.explode("keys").alias("g"), *transformed()).join(F.broadcast(used) if big <= 100_000 else used, "g", "left_semi")
+    member = good.select(F.explode("keys").alias("g"), *transformed()).join(small(used, big), "g", "left_semi")
     stats = common.written(member, "quality")
-    fits = estimates(stats)
-    out = with_group_left(placed.select("*", *transformed()), fits)
+    fits = estimates(stats, big)
+    out = with_group(placed.select("*", *transformed()), fits, big, "left")
     far = F.when(F.col("centre").isNotNull(), distance())
     out = out.withColumn("distance2", far).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff))
     common.dropped(stats, sizes)
@@ -244,6 +252,3 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataF
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept")
 
-
-def with_group_left(df: DataFrame, fits: DataFrame) -> DataFrame:
-    return df.join(fits.select(F.col("g").alias("_g"), "centre", "inverse"), F.col("g") == F.col("_g"), "left").drop("_g")

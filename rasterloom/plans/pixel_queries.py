@@ -16,7 +16,7 @@ def valid_mask(spark, d):
     return px(spark, d).select(*KEYS, masking.valid_range(F.col("value"), 50000, 300000, -999999.0).alias("value"))
 
 
-@query(f"with {PX} select scene, y, x, round(value, 2) as b0, round(label * 2.0, 2) as b2 from px")
+@query(f"with {PX} select scene, y, x, round(value, 2) as b0, round(label * 2.0::double, 2) as b2 from px")
 def channel_delete(spark, d):
     b = F.array(F.col("value"), F.col("truth").cast("double"), F.col("label") * 2.0)
     kept = px(spark, d).select(*KEYS, masking.delete_channels(b, [1]).alias("b"))
@@ -320,7 +320,7 @@ def nearest_resize(spark, d):
     return grid.nearest_resize(px(spark, d).select(*KEYS, "value"), 50, 50, 33, 71).select(*KEYS, "value")
 
 
-@query(f"with {PX} select scene, y, x, round(100 + (x + 0.5) * 0.25, 6) as mx, round(40 - (y + 0.5) * 0.5, 6) as my, x as bx, y as b_y from px")
+@query(f"with {PX} select scene, y, x, round(100 + (x + 0.5::double) * 0.25::double, 6) as mx, round(40 - (y + 0.5::double) * 0.5::double, 6) as my, x as bx, y as b_y from px")
 def affine_roundtrip(spark, d):
     gt = (100.0, 0.25, 0.0, 40.0, 0.0, -0.5)
     mx, my = grid.affine(F.col("x"), F.col("y"), gt)
@@ -400,7 +400,7 @@ def _truth_pred(spark, d):
     return p.select("scene", "y", "x", (F.col("truth") == 1).cast("int").alias("t"), F.when(F.col("label") != 11, (F.col("label") < 6).cast("int")).alias("p"))
 
 
-CONF = PX + ", b as (select scene, y, x, (truth = 1)::int as t, case when label <> 11 then (label < 6)::int end as p from px), k as (select scene, count_if(t = 1 and p = 1) as tp, count_if(t = 0 and p = 0) as tn, count_if(t = 0 and p = 1) as fp, count_if(t = 1 and p = 0) as fn from b group by scene)"
+CONF = PX + ", b as (select scene, y, x, (truth = 1)::int as t, case when label <> 11 then (label < 6)::int end as p from px), k as (select scene, count_if(t = 1 and p = 1)::bigint as tp, count_if(t = 0 and p = 0)::bigint as tn, count_if(t = 0 and p = 1)::bigint as fp, count_if(t = 1 and p = 0)::bigint as fn from b group by scene)"
 _M = """round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1, round(tp / nullif(tp + fp + fn, 0), 6) as iou,
  round((tp * tn - fp * fn) / (sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn)), 6) as mcc, (tp + tn + fp + fn)::bigint as n"""
 
@@ -428,7 +428,7 @@ def confusion_matrix(spark, d):
     return metrics.confusion_matrix(px2(spark, d), "sev", "sev2", range(-1, 6)).withColumn("row_share", F.round("row_share", 6))
 
 
-@query(f"""with {PX2}, c as (select k as class, count_if(sev = k and sev2 = k) as tp, count_if(sev <> k and sev2 = k) as fp, count_if(sev = k and sev2 <> k) as fn from px2, range(-1, 6) r(k) group by k),
+@query(f"""with {PX2}, c as (select k as class, count_if(sev = k and sev2 = k)::bigint as tp, count_if(sev <> k and sev2 = k)::bigint as fp, count_if(sev = k and sev2 <> k)::bigint as fn from px2, range(-1, 6) r(k) group by k),
  m as (select *, coalesce(tp / nullif(tp + fp, 0), 1.0) as precision, coalesce(tp / nullif(tp + fn, 0), 1.0) as recall from c where tp + fn > 0)
  select class::int as class, tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) as f1, tp + fn as support from m""")
 def per_class_f1(spark, d):
@@ -457,7 +457,7 @@ def f1_grouping_sets(spark, d):
     return out.select("product", "instrument", F.col("lev").alias("level"), F.round("weighted_f1", 6).alias("weighted_f1"), "support", F.col("level").alias("sets"))
 
 
-@query(f"with {PX} select y, x, count_if(label <> 11 and truth <> 2 and (label < 6)::int <> truth) as differ, count_if(label <> 11 and truth <> 2) as compared, round(count_if(label <> 11 and truth <> 2 and (label < 6)::int <> truth) / nullif(count_if(label <> 11 and truth <> 2), 0), 6) as share from px group by y, x")
+@query(f"with {PX} select y, x, count_if(label <> 11 and truth <> 2 and (label < 6)::int <> truth)::bigint as differ, count_if(label <> 11 and truth <> 2)::bigint as compared, round(count_if(label <> 11 and truth <> 2 and (label < 6)::int <> truth) / nullif(count_if(label <> 11 and truth <> 2), 0), 6) as share from px group by y, x")
 def disagree_map(spark, d):
     p = px(spark, d).select("y", "x", F.when(F.col("label") != 11, (F.col("label") < 6).cast("int")).alias("a"), F.when(F.col("truth") != 2, F.col("truth")).alias("b"))
     return metrics.disagreement(p, "a", "b", ["y", "x"]).withColumn("share", F.round("share", 6))
@@ -497,7 +497,7 @@ def ssim_global(spark, d):
 
 
 @query(f"""with {COUNTS}, {MAJORITY}, a as (select cluster, class from m where share >= 0.34), p as (select x.truth, a.class as pred from px x left join a on x.label = a.cluster where a.class is not null),
- k as (select count_if(truth = 1 and pred = 1) as tp, count_if(truth <> 1 and pred <> 1) as tn, count_if(truth <> 1 and pred = 1) as fp, count_if(truth = 1 and pred <> 1) as fn from p)
+ k as (select count_if(truth = 1 and pred = 1)::bigint as tp, count_if(truth <> 1 and pred <> 1)::bigint as tn, count_if(truth <> 1 and pred = 1)::bigint as fp, count_if(truth = 1 and pred <> 1)::bigint as fn from p)
  select tp, tn, fp, fn, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1, (tp + tn + fp + fn)::bigint as n from k""")
 def context_assign_metrics(spark, d):
     """Which class does each cluster belong to, and how good is the resulting map? One pass for the histogram, one for the map."""

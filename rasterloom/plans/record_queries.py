@@ -207,7 +207,7 @@ def monthly_composite(spark, d):
     return merging.composite(p, ["yr", "mon", "y"])
 
 
-@query(f"with {PX} select y, x, max(label) as v_max, sum(label)::bigint as v_sum, count_if(label > 0) as v_count, round(avg(nullif(label, 0)), 6) as v_mean from px group by y, x")
+@query(f"with {PX} select y, x, max(label) as v_max, sum(label)::bigint as v_sum, count_if(label > 0)::bigint as v_count, round(avg(nullif(label, 0)), 6) as v_mean from px group by y, x")
 def slice_combine(spark, d):
     return merging.slice_combine(px(spark, d), ["y", "x"], "label").withColumn("v_mean", F.round("v_mean", 6))
 

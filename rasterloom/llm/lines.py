@@ -12,6 +12,7 @@ shuffles 40 bytes a line and stays exact.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of the twice-seen filter that is broadcast (32 MB at 28), and slices that are merged apart.
+#: Bits of the twice-seen filter that is broadcast, at most (32 MB at 28; fewer for small inputs), and slices that are merged apart.
 BITS = 28
 SLICES = 64
-#: Positions that a scan task holds before it writes them out.
+#: Positions that a scan task holds before it writes them out, and rows that it hashes at once.
 FLUSH = 4_000_000
+ROWS = 10_000
 #: Keys that may be broadcast (16 bytes each).
 BAD_KEYS = 1_000_000
 
@@ -44,6 +46,16 @@ def keys_of(text: str | None, least: int) -> list[bytes]:
     return out
 
 
+def sized(keys: float) -> int:
+    """Bits of a filter for that many keys: eight bits a key, 2**16 to 2**BITS."""
+    return max(16, min(BITS, math.ceil(math.log2(max(1, 8 * keys)))))
+
+
+def bits_for(docs: DataFrame) -> int:
+    """Bits of a filter for the lines of docs, at 32 bytes a line: one scan of lengths."""
+    return sized((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 32)
+
+
 def positions(hashes, bits: int) -> np.ndarray:
     return (np.asarray(hashes, np.uint64) >> np.uint64(64 - bits)).astype(np.uint32)
 
@@ -70,8 +82,11 @@ def merged(rows, bits: int) -> bytes:
     return np.packbits(twice).tobytes()
 
 
-def twice_filter(docs: DataFrame, hashes_of, bits: int = BITS) -> bytes:
-    """The merged filter, 2**bits bits: bounded, so it may go through the driver. hashes_of(text) gives distinct hashes."""
+def twice_filter(df: DataFrame, hashes_of, bits: int = BITS) -> bytes:
+    """The merged filter of a frame with one column, 2**bits bits: bounded, so it may go through the driver.
+
+    hashes_of(values) gives the 64-bit hashes of an Arrow array of the column, as often as they are to be counted.
+    """
 
     def scan(batches):
         held, n = [], 0
@@ -81,8 +96,8 @@ def twice_filter(docs: DataFrame, hashes_of, bits: int = BITS) -> bytes:
             return pa.RecordBatch.from_pydict({"s": pa.array([r[0] for r in rows], pa.int32()), "pos": pa.array([r[1] for r in rows], pa.binary()), "more": pa.array([r[2] for r in rows], pa.binary())})
 
         for b in batches:
-            for t in b.column(0):
-                p = positions(hashes_of(t.as_py()), bits)
+            for a in range(0, b.num_rows, ROWS):
+                p = positions(hashes_of(b.column(0).slice(a, ROWS)), bits)
                 held.append(p)
                 n += len(p)
                 if n >= FLUSH:
@@ -97,7 +112,7 @@ def twice_filter(docs: DataFrame, hashes_of, bits: int = BITS) -> bytes:
 
         yield pa.RecordBatch.from_pydict({"s": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([merged(rows(), bits)], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(scan, "s int, pos binary, more binary")
+    parts = df.mapInArrow(scan, "s int, pos binary, more binary")
     found = parts.groupBy("s").applyInArrow(merge, "s int, twice binary").collect()  # SLICES rows at most, 2**bits bits in all
     size = (1 << bits) // 8 // SLICES
     got = {r.s: bytes(r.twice) for r in found}
@@ -111,8 +126,8 @@ def seen_twice(bitmap: np.ndarray, pos: np.ndarray) -> np.ndarray:
 def suspects(docs: DataFrame, least: int, bits: int) -> DataFrame:
     """(key, doc_id, n) of the line keys that the twice-seen filter suspects: one row a document and key."""
     spark = docs.sparkSession
-    hashes = lambda text: [xxhash.xxh3_64_intdigest(k) for k in {*keys_of(text, least)} - {b""}]
-    twice = spark.sparkContext.broadcast(twice_filter(docs, hashes, bits))
+    hashes = lambda texts: [xxhash.xxh3_64_intdigest(k) for t in texts for k in {*keys_of(t.as_py(), least)} - {b""}]
+    twice = spark.sparkContext.broadcast(twice_filter(docs.select("text"), hashes, bits))
 
     def scan(batches):
         bitmap = np.frombuffer(twice.value, np.uint8)
@@ -130,11 +145,11 @@ def suspects(docs: DataFrame, least: int, bits: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "key binary, doc_id bigint")
 
 
-def repeated_keys(docs: DataFrame, min_docs: int, least: int = 1, bits: int = BITS) -> DataFrame:
+def repeated_keys(docs: DataFrame, min_docs: int, least: int = 1, bits: int | None = None) -> DataFrame:
     """digest, n_docs and first_doc of the keys in at least min_docs rows of docs, counted exactly by whole key."""
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more: a key in one document is no repeat")
-    sus = suspects(docs, least, bits)
+    sus = suspects(docs, least, bits or bits_for(docs))
     # Partial counts run in each scan task before the shuffle, so a line that a third of the documents hold is no hot key.
     n = sus.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
     return n.select(F.unhex(F.substring(F.sha2("key", 256), 1, 32)).alias("digest"), "n_docs", "first_doc")
@@ -150,7 +165,7 @@ def _cut(text: str | None, bad, least: int):
     return len(lines), len(lines) - len(keep), b"\n".join(keep)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, bits: int = BITS, bad_keys: int = BAD_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, bits: int | None = None, bad_keys: int = BAD_KEYS) -> DataFrame:
     """All columns of docs with text replaced by the lines that stay, and n_lines, n_dropped (long).
 
     Keys of at least ``least`` code points in min_docs or more rows of docs lose all their lines. Null or empty text is
@@ -159,6 +174,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, bits: int =
     replaced.
     """
     spark = docs.sparkSession
+    bits = bits or bits_for(docs)
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     bad = common.written(repeated_keys(docs, min_docs, least, bits).select("digest"), "lines")
     n = bad.count()

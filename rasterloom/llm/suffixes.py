@@ -14,7 +14,8 @@ times BLOCK, however long the texts or the ties are.
 Anchors are handled in PASSES classes, one after the other, as many as the corpus needs for the filters to stay sparse:
 disk and filters are bounded by a class.
 
-Skew: equal documents and equal runs are collapsed to their first before any sorting, with partial aggregates.
+Skew: equal documents are collapsed to their first before anything else, and each scan task collapses equal runs before
+the shuffle, so that a passage in very many documents reaches its sorting task about once a scan task.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +41,10 @@ POS_BITS = 20
 CHUNK = (1 << POS_BITS) - 4096
 BLOCK = 2 << 20
 BUCKETS = 8
-#: Bytes of corpus for which one pass' filter of 2**BITS bits stays sparse.
-BITS = 28
+#: Texts that are cut into runs at once, and bytes of distinct runs that a scan task holds to find equal ones.
+ROWS = 256
+HELD = 32 << 20
+#: Bytes of corpus for which one pass' filter of 2**28 bits stays sparse.
 PASS_BYTES = 8 << 30
 
 _M = 0x9E3779B97F4A7C15
@@ -233,42 +237,55 @@ def _texts(column) -> list[bytes]:
 _SPAN = "doc bigint, tie bigint, first bigint, last bigint"
 
 
-def _pass(docs: DataFrame, length: int, k: int, passes: int) -> DataFrame:
+def _pass(docs: DataFrame, length: int, k: int, passes: int, bits: int) -> DataFrame:
     """Removed windows (doc, tie, first, last) of the anchors in class k. docs: doc, tie, text, without equal texts."""
     spark = docs.sparkSession
     mine = lambda h: (h % np.uint64(passes)) == np.uint64(k) if passes > 1 else np.ones(len(h), bool)
 
-    def anchors(text):
-        h = runs([(text or "").encode()], length)[3]
+    def anchors(texts):
+        own = _texts(texts)
+        found = [runs(own[a : a + ROWS], length)[3] for a in range(0, len(own), ROWS)]
+        h = np.concatenate(found) if found else np.zeros(0, np.uint64)
         return _spread(h[mine(h)])
 
-    twice = spark.sparkContext.broadcast(lines.twice_filter(docs, anchors, BITS))
+    twice = spark.sparkContext.broadcast(lines.twice_filter(docs.select("text"), anchors, bits))
 
     def emit(batches):
+        """Runs of suspected anchors. Of those with equal bytes that a task holds at once only the first keeps its bytes; the
+        others have an earlier equal run, so their windows all go, and they travel as bare ranges under a key of their own."""
         bitmap = np.frombuffer(twice.value, np.uint8)
+        held: dict[tuple, tuple] = {}
+        bare: list[tuple] = []
+        size = 0
+
+        def out():
+            rows = [(*who, key[0], body) for key, (who, body) in held.items()] + [(*who, who[0] ^ who[2], None) for who in bare]
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=["doc", "tie", "first", "last", "anchor", "body"])
+
         for b in batches:
-            doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
+            doc, tie = b.column(0).to_pylist(), b.column(1).to_pylist()
             texts = _texts(b.column(2))
-            for lo in range(0, len(texts), 256):
-                own = texts[lo : lo + 256]
+            for lo in range(0, len(texts), ROWS):
+                own = texts[lo : lo + ROWS]
                 i, first, last, h = runs(own, length)
                 hit = mine(h)
-                hit &= lines.seen_twice(bitmap, lines.positions(_spread(h), BITS))
-                i, first, last, h = i[hit], first[hit], last[hit], h[hit]
-                body = [own[x][a : z + length] for x, a, z in zip(i.tolist(), first.tolist(), last.tolist())]
-                cols = [pa.array(doc[lo + i]), pa.array(tie[lo + i]), pa.array(first), pa.array(last), pa.array(h.view(np.int64)), pa.array([xxhash.xxh3_128_digest(x) for x in body], pa.binary()), pa.array(body, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "tie", "first", "last", "anchor", "digest", "body"])
-
-    found = common.written(docs.select("doc", "tie", "text").mapInArrow(emit, _SPAN + ", anchor bigint, digest binary, body binary"), "runs")
-    # Equal runs: the first stands for all; each of the others is removed whole.
-    who = F.struct("doc", "tie", "first", "last")
-    heads = found.groupBy("anchor", "digest").agg(F.min(who).alias("h"), F.count(F.lit(1)).alias("c"))
-    heads = common.written(heads, "run-heads")
-    many = heads.where("c > 1").select(F.col("digest").alias("dg"), F.col("anchor").alias("an"), "h")
-    copies = found.select("doc", "tie", "first", "last", "anchor", "digest").join(many.hint("merge"), (F.col("digest") == F.col("dg")) & (F.col("anchor") == F.col("an")))
-    copies = copies.where(who != F.col("h")).select("doc", "tie", "first", "last")
-    bodies = found.select("doc", "tie", "first", "last", "anchor", "body")
-    sorted_in = bodies.join(heads.select("h.*").hint("merge"), ["doc", "tie", "first", "last"], "left_semi").select("anchor", "doc", "tie", "first", "body")
+                hit &= lines.seen_twice(bitmap, lines.positions(_spread(h), bits))
+                for x, f, z, a in zip(i[hit].tolist(), first[hit].tolist(), last[hit].tolist(), h[hit].view(np.int64).tolist()):
+                    body = own[x][f : z + length]
+                    who = (doc[lo + x], tie[lo + x], f, z)
+                    key = (a, xxhash.xxh3_128_digest(body))
+                    got = held.get(key)
+                    if got is None:
+                        held[key] = (who, body)
+                        size += len(body)
+                    elif got[0] != who:  # a row that repeats a document is no earlier one
+                        bare.append(max(got[0], who))
+                        held[key] = (min(got[0], who), body)
+                if size >= HELD or len(bare) >= HELD // 100:
+                    yield out()
+                    held, bare, size = {}, [], 0
+        yield out()
 
     def sort(batches):
         held, size, last = [], 0, None
@@ -277,20 +294,22 @@ def _pass(docs: DataFrame, length: int, k: int, passes: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in repeats(held, length)], names=["doc", "tie", "first", "last"])
 
         for b in batches:
-            for a, *row in zip(*(c.to_pylist() for c in b.columns)):
+            alone = pa.compute.is_null(b.column(5))
+            yield b.filter(alone).select([0, 1, 2, 3])
+            b = b.filter(pa.compute.invert(alone))
+            for d, t, f, a, body in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4, 5))):
                 if a != last and size >= BLOCK:
                     yield out()
                     held, size = [], 0
-                held.append(row)
-                size += len(row[3])
+                held.append((d, t, f, body))
+                size += len(body)
                 last = a
         if held:
             yield out()
 
-    rest = sorted_in.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, _SPAN)
-    out = common.written(rest.unionByName(copies), "removed")
-    common.dropped(found, heads)
-    return out
+    found = docs.select("doc", "tie", "text").mapInArrow(emit, _SPAN + ", anchor bigint, body binary")
+    dealt = found.repartition("anchor").sortWithinPartitions("anchor")
+    return common.written(dealt.mapInArrow(sort, _SPAN), "removed")
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -334,7 +353,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, passes: int | None = None
     total = ids.agg(F.sum("size")).first()[0] or 0
     passes = passes or max(1, -(-total // PASS_BYTES))
     own = common.joined_by_size(keyed.where(F.octet_length("text") >= length), copies, ["doc", "tie"], "left_anti", n_copies).select("doc", "tie", "text")
-    removed = [_pass(own, length, k, passes) for k in range(passes)]
+    bits = lines.sized(total / passes / 40)  # an anchor for some 40 bytes
+    removed = [_pass(own, length, k, passes, bits) for k in range(passes)]
     spans = removed[0]
     for r in removed[1:]:
         spans = spans.unionByName(r)

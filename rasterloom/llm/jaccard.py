@@ -2,7 +2,7 @@
 
 A document is its set of word 5-gram hashes (64 bits). All sets are ordered alike, rare n-grams first, by a table of
 hashed counts. Two sets as similar as the threshold share one of their first n - ceil(t * n) + 1 n-grams, so documents meet
-on these only. Of those that meet, the length filter, the positional filter (what can still be shared after the
+on these only; n-grams that the two filters of ``lines`` know to be in one prefix alone aren't shuffled. Of those that meet, the length filter, the positional filter (what can still be shared after the
 meeting places) and the suffix filter (what can be shared at most, by hash range) leave the pairs that are verified,
 each once, against the whole sets.
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graph, pieces
+from . import common, graph, lines, pieces
 
 #: Words of an n-gram; hashed counters of the frequency table (one byte each when broadcast), and slices that are summed apart.
 WORDS = 5
@@ -152,11 +152,27 @@ def overlap_needed(na, nb, percent: int):
 
 
 def may_link(na, ia, nb, ib, percent: int):
-    """Length and positional filters of two sets that share the n-gram at places ia and ib."""
-    length = (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-    # The pair may also share n-grams before these places, min(ia, ib) at most.
-    most = 1 + F.least(ia, ib) + F.least(na - ia, nb - ib) - 1
-    return length & (most >= overlap_needed(na, nb, percent))
+    """Length and positional filters of two sets that share the n-gram at places ia and ib.
+
+    At the first n-gram that two sets share, all they share lies from there on. At later ones less does, so a pair
+    whose first one fails this test fails it at all, and one that passes is met at its first.
+    """
+    length = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    return length & (F.least(na - ia, nb - ib) >= overlap_needed(na, nb, percent))
+
+
+def repeated_tokens(tok: DataFrame) -> DataFrame:
+    """Rows of tok whose n-gram the two filters of ``lines`` suspect of occurring twice. The others meet nothing."""
+    bits = lines.sized(tok.count())
+    spread = lambda t: t.to_numpy().view(np.uint64) * _K
+    twice = tok.sparkSession.sparkContext.broadcast(lines.twice_filter(tok.select("token"), spread, bits))
+
+    def run(batches):
+        bitmap = np.frombuffer(twice.value, np.uint8)
+        for b in batches:
+            yield b.filter(pa.array(lines.seen_twice(bitmap, lines.positions(spread(b.column(0)), bits))))
+
+    return tok.mapInArrow(run, tok.schema)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, ranges: DataFrame, percent: int, words: int) -> DataFrame:
@@ -222,7 +238,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     others = copies.select(F.col("b").alias("doc_id")).distinct().join(repeated.select("doc_id").hint("merge"), "doc_id", "left_anti")
     first = common.without(docs.where("doc_id is not null"), common.written(others, "others"))
-    tok = common.written(prefixes(first, rarity(scanned), percent, words), "prefixes")
+    every = common.written(prefixes(first, rarity(scanned), percent, words), "prefixes")
+    tok = common.written(repeated_tokens(every), "repeated-prefixes")
+    common.dropped(every)
 
     # The first document of each n-gram that two or more have.
     hubs = tok.groupBy("token").agg(F.min(F.struct("doc_id", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")

@@ -340,6 +340,14 @@ def resample_nearest(spark, d):
     return grid.resample_nearest(source, t, 40, ["station"], "value", "id").withColumn("km", F.round("km", 6))
 
 
+@query(f"""with {GEO}, {STATIONS}, c as (select scene, station, g.id, g.value, round({HAVERSINE}, 9) as km from gp g, st), r as (select *, row_number() over (partition by scene, station order by km, id) as k from c where km <= 40)
+ select scene, station, value, round(km, 6) as km from r where k = 1""")
+def resample_nearest_scenes(spark, d):
+    source = geo_px(spark, d).select("scene", "lat", "lon", "id", "value")
+    t = stations(spark, d).withColumnsRenamed({"s_lat": "t_lat", "s_lon": "t_lon"})
+    return grid.resample_nearest(source, t, 40, ["scene", "station"], "value", "id").withColumn("km", F.round("km", 6))
+
+
 @query(f"""with {GEO}, {STATIONS} select station, count(*) as n, round(avg(value), 4) as mean from (select * from gp where scene < 3) g join st on pow(lat - s_lat, 2) + pow(lon - s_lon, 2) <= 0.0729 group by station""")
 def station_match(spark, d):
     from ..operators import matchup
@@ -349,6 +357,15 @@ def station_match(spark, d):
     return m.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
 
 
+@query(f"""with {GEO}, {STATIONS}, v as (select distinct l_suppkey as station, l_shipdate::date as day from lineitem) select station, day, count(*) as n, round(avg(value), 4) as mean from gp join v using (day) join st using (station) where pow(lat - s_lat, 2) + pow(lon - s_lon, 2) <= 0.0729 group by station, day""")
+def station_match_days(spark, d):
+    from ..operators import matchup
+
+    visits = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("station"), F.to_date("l_shipdate").alias("day")).distinct()
+    m = matchup.station_match(visits.join(stations(spark, d), "station"), geo_px(spark, d), 0.27, ["station"])
+    return m.groupBy("station", "day").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+
+
 @query(f"""with {GEO} select floor((34.03::double - lat) / 0.3)::int as y, floor((lon - -119.97::double) / 0.3)::int as x, max(value) as value from gp where floor((34.03::double - lat) / 0.3) between 0 and 9 and floor((lon - -119.97::double) / 0.3) between 0 and 9 group by 1, 2""")
 def swath_to_grid(spark, d):
     return grid.swath_to_grid(geo_px(spark, d), (-119.97, 31.03, -116.97, 34.03), 0.3, "max")
@@ -380,6 +397,14 @@ def sensor_fuse(spark, d):
     return f.select("y", "x", F.round(b[0], 2).cast("double").alias("b0"), b[1].cast("double").alias("b1"), b[2].cast("double").alias("b2"))
 
 
+@query(f"""with {PX}, {PX2}, l as (select scene, y, x, sev from px2 where sev > 0) select scene, y, x, round(value::float, 2)::double as b0, label::double as b1, sev::double as b2 from px full join l using (scene, y, x)""")
+def sensor_fuse_scenes(spark, d):
+    h = px(spark, d).select(*KEYS, F.array(F.col("value").cast("float"), F.col("label").cast("float")).alias("bands"))
+    low = px2(spark, d).where("sev > 0").select(*KEYS, F.array(F.col("sev").cast("float")).alias("bands"))
+    b = F.col("bands")
+    return grid.fuse(h, low, KEYS, 2, 1).select(*KEYS, F.round(b[0], 2).cast("double").alias("b0"), b[1].cast("double").alias("b1"), b[2].cast("double").alias("b2"))
+
+
 @query(f"""with {PX}, t as (select (y + s)::int as y, (x + s)::int as x, value, s * 1000000 + id as seq from px, range(0, 2) r(s) where scene = 0) select y, x, arg_max(value, seq) as value from t group by y, x""")
 def paste_last(spark, d):
     p = px(spark, d).where("scene = 0").select("scene", "y", "x", "value", "id")
@@ -387,6 +412,14 @@ def paste_last(spark, d):
     return grid.paste_last(parts, "seq").select("y", "x", "value")
 
 
+@query(f"""with {PX}, t as (select scene, (y + s)::int as y, (x + s)::int as x, value, s * 1000000000000000 + id as seq from px, range(0, 2) r(s)) select scene, y, x, arg_max(value, seq) as value from t group by scene, y, x""")
+def paste_last_scenes(spark, d):
+    p = px(spark, d).select(*KEYS, "value", "id")
+    seq = lambda step: F.struct(F.lit(step).alias("step"), F.col("id"))
+    parts = p.withColumn("seq", seq(0)).unionByName(grid.paste(p, 1, 1).withColumn("seq", seq(1)))
+    return grid.paste_last(parts, "seq").select(*KEYS, "value")
+
+
 @query(f"with {PX2}, p as (select *, coalesce(case when sev > 3 then 1 end, case when sev2 > 2 then 2 end, case when x > 25 then 3 end) as k from px2) select scene, y, x, k as basic, case when y > 10 and sev = 0 then 9 else k end as glint, case when sev2 = 5 and coalesce(k, 2) >= 2 then 1 else k end as replaced from p")
 def priority_mask(spark, d):
     ps = [(F.col("sev") > 3, 1), (F.col("sev2") > 2, 2), (F.col("x") > 25, 3)]

@@ -77,6 +77,11 @@ def subset_paste(spark, d):
     return grid.paste(px(spark, d).where("scene = 1 and y < 5 and x < 5"), 10, 20).select("scene", "y", "x", "value")
 
 
+@query(f"with {PX} select scene, y + 10 as y, x + 20 as x, value from px where y < 5 and x < 5")
+def subset_paste_scenes(spark, d):
+    return grid.paste(px(spark, d).where("y < 5 and x < 5"), 10, 20).select("scene", "y", "x", "value")
+
+
 @query(f"with {PX} select scene, y, x, count(*) as n from px where label % 3 = 0 group by scene, y, x")
 def train_locations(spark, d):
     return px(spark, d).where("label % 3 = 0").groupBy("scene", "y", "x").agg(F.count(F.lit(1)).alias("n"))

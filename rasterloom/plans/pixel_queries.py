@@ -295,6 +295,12 @@ def packed_tiles(spark, d):
     return t.select("scene", "tile_y", "tile_x", F.posexplode("data").alias("pos", "value")).where(F.col("pos") % 11 == 0)
 
 
+@query(f"with {TILED}, f as (select scene, tile_y, tile_x from t group by all having count(*) = 100) select scene, tile_y::int as tile_y, tile_x::int as tile_x, ((y - tile_y * 5) * 10 + x - tile_x * 5)::int as pos, value from t join f using (scene, tile_y, tile_x)")
+def packed_tiles_whole(spark, d):
+    t = tiles.packed(_tiled(spark, d), 10, 5)
+    return t.select("scene", "tile_y", "tile_x", F.posexplode("data").alias("pos", "value"))
+
+
 @query(f"with {PX} select (y * 3 // 50)::int as tile_y, (x * 3 // 50)::int as tile_x, count(*) as n, round(avg(value), 4) as mean from px group by 1, 2")
 def extent_tiles(spark, d):
     p = px(spark, d).select(grid.extent_tile(F.col("y"), 3, 50).alias("tile_y"), grid.extent_tile(F.col("x"), 3, 50).alias("tile_x"), "value")

@@ -26,3 +26,14 @@ def test_stations_match_on_their_days(spark):
     visits = views.table(spark, SF, "lineitem").select(F.col("l_suppkey").alias("station"), F.to_date("l_shipdate").alias("day"))
     assert len(got[1]) > 0
     assert plans.QUERIES["station_match_days"](spark, SF).join(visits, ["station", "day"], "left_anti").count() == 0
+
+
+def test_packed_tiles_have_all_positions(spark):
+    got, sql = both(spark, SF, plans.QUERIES["packed_tiles_whole"], plans.SQL["packed_tiles_whole"])
+    assert got == sql
+    tile = [got[0].index(c) for c in ("scene", "tile_y", "tile_x")]
+    held = {}
+    for r in got[1]:
+        held.setdefault(tuple(r[i] for i in tile), []).append(r[got[0].index("pos")])
+    assert held
+    assert all(sorted(p) == list(range(100)) for p in held.values())

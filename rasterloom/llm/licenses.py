@@ -7,6 +7,8 @@ All of it is DataFrame code: no text leaves the JVM, and only digests meet.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,9 @@ SPELLINGS = (
     ("wilful", "willful"),
 )
 
+#: A run of the characters that the canonical form keeps.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 #: Texts of public licenses that are known from the start. Callers add their own.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -91,12 +96,21 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def first_words(words: Iterable[str]) -> list[str]:
+    """The first words of texts whose canonical form starts with one of these: themselves and spellings that become them."""
+    found = set(words)
+    while more := {old.split()[0] for old, new in SPELLINGS if new.split()[0] in found} - found:
+        found |= more
+    return sorted(found)
+
+
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """license_id and digest of each known license; the least id where two have one canonical form."""
+    """license_id, digest and first canonical word of each known license; the least id where two have one canonical form."""
     rows = list((KNOWN if texts is None else texts).items())
     df = spark.createDataFrame(rows or [("", "")], "license_id string, text string")
-    df = df.where(F.lit(bool(rows))).select("license_id", digest(F.col("text")).alias("digest"))
-    return df.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    df = df.where(F.lit(bool(rows))).select("license_id", canonical(F.col("text")).alias("form"))
+    df = df.select("license_id", F.sha2("form", 256).alias("digest"), F.substring_index("form", " ", 1).alias("first_word"))
+    return df.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.min("first_word").alias("first_word"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame, of_lines: bool = False) -> DataFrame:
@@ -104,16 +118,21 @@ def scan(docs: DataFrame, licenses: DataFrame, of_lines: bool = False) -> DataFr
 
     of_lines: also n_license_lines, the lines whose own canonical form is a known license. Null and empty texts, and
     texts of punctuation alone, have the digest of the empty form, which no license has. Rows aren't merged or
-    dropped. licenses: (license_id, digest), one row a digest.
+    dropped. licenses: (license_id, digest), one row a digest; with the first_word that known() gives, only lines that start
+    with such a word are digested.
     """
     n = licenses.count()
     small = F.broadcast(licenses) if n <= common.BROADCAST_ROWS else licenses
     d = common.take(docs).select("doc_id", digest(F.col("text")).alias("digest"), "text")
-    out = d.join(small, "digest", "left").select("doc_id", F.col("digest").alias("canonical_sha256"), "license_id", "text")
+    out = d.join(small.select("digest", "license_id"), "digest", "left").select("doc_id", F.col("digest").alias("canonical_sha256"), "license_id", "text")
     if not of_lines:
         return out.drop("text")
-    # Only lines that hold a word every known license has are digested: licenses are looked up, so others can't be known.
-    line = F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.lower(x).rlike("licen[sc]e|permission")))
+    # A line whose first word starts no license can't be one. Licenses that come without first words need every line's digest.
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    if "first_word" in licenses.columns and n <= common.BROADCAST_ROWS:
+        starts = first_words(r.first_word for r in licenses.select("first_word").distinct().collect())
+        lines = F.filter(lines, lambda x: F.regexp_extract(F.lower(x), WORD, 0).isin(*starts))
+    line = F.explode(lines)
     found = common.take(docs).select("doc_id", line.alias("line")).select("doc_id", digest(F.col("line")).alias("digest"))
     per = found.join(small.select("digest"), "digest", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).select(F.col("doc_id").alias("of"), "k")
     out = out.drop("text").join(per, F.col("doc_id").eqNullSafe(F.col("of")), "left")

@@ -99,6 +99,16 @@ def test_license_forms(spark, docs, empty):
     assert {r.doc_id: r.n_license_lines for r in licenses.scan(notice, licenses.known(spark), True).collect()} == {1: 1, 2: 0}
 
 
+def test_license_lines_need_no_particular_word(spark):
+    own = licenses.known(spark, {"unlicensed-words": "Do what you like with this."})
+    docs = spark.createDataFrame([(1, "a\nDo what you like with this!\nb\n do what you like with this"), (2, "a\nb"), (3, None)], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_license_lines for r in licenses.scan(docs, own, True).collect()} == {1: 2, 2: 0, 3: 0}
+    assert licenses.scan(docs, own.drop("first_word"), True).sort("doc_id").collect() == licenses.scan(docs, own, True).sort("doc_id").collect()
+    spelt = licenses.known(spark, {"spelt": "Licence of Acme", "start": "Non commercial use"})
+    docs = spark.createDataFrame([(1, "x\n* LICENSE of acme.\nnoncommercial use\nnon-commercial use"), (2, "the licence of Acme")], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_license_lines for r in licenses.scan(docs, spelt, True).collect()} == {1: 3, 2: 0}
+
+
 # 4
 
 def plain_statistics(t):

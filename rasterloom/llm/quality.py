@@ -30,10 +30,9 @@ FLOOR = (0.5, 0.04, 0.06, 0.06, 0.1)
 #: Share of a group's documents that an estimate concentrates on, steps, and documents that a group needs for its own.
 HALF = 0.75
 STEPS = 4
-LEAST = 200
-#: Squared distance above which a document goes. The 1 - 1e-9 quantile of chi-squared with 5 degrees of freedom is 50.8;
-#: real statistics have longer tails than the normal, so the limit is above it.
-CUTOFF = 80.0
+LEAST = 30
+#: Chance that a normal document's squared distance is above the cutoff.
+TAIL = 1e-6
 #: Groups whose fits may be broadcast (some 300 bytes each).
 GROUP_ROWS = 100_000
 #: Histogram bins of the logarithm of the squared distance.
@@ -108,22 +107,32 @@ def moments(*by: str):
     return lambda df: df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
 
 
-def consistency(share: float, dims: int = 5) -> float:
-    """Factor that makes the scatter of the central ``share`` of a normal sample consistent: share over the chance that
-    chi-squared with two more degrees of freedom is below the share's quantile."""
+def _below(x: float, d: int) -> float:
+    """Chance that chi-squared with d (odd) degrees of freedom is below x, by recurrence from the normal."""
+    p, term = math.erf(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for k in range(3, d + 1, 2):
+        p -= term
+        term *= x / k
+    return p
 
-    def below(x: float, d: int) -> float:  # odd d, by recurrence from the normal
-        p, term = math.erf(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
-        for k in range(3, d + 1, 2):
-            p -= term
-            term *= x / k
-        return p
 
+def quantile(share: float, dims: int = 5) -> float:
+    """The share's quantile of chi-squared with dims (odd) degrees of freedom."""
     lo, hi = 0.0, 100.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if below(mid, dims) < share else (lo, mid)
-    return share / below(lo, dims + 2)
+        lo, hi = (mid, hi) if _below(mid, dims) < share else (lo, mid)
+    return lo
+
+
+def consistency(share: float, dims: int = 5) -> float:
+    """Factor that makes the scatter of the central ``share`` of a normal sample consistent: share over the chance that
+    chi-squared with two more degrees of freedom is below the share's quantile."""
+    return share / _below(quantile(share, dims), dims + 2)
+
+
+#: Squared distance above which a document goes.
+CUTOFF = quantile(1 - TAIL)
 
 
 FIT = "g string, n bigint, centre array<double>, inverse array<double>"
@@ -217,8 +226,8 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataF
     """All columns of docs but text, with the statistics, base_failed, distance2 and kept.
 
     A document is judged in its language and source if at least ``least`` documents of theirs pass the base rules, else in
-    its language, else among all, else (fewer than ``least`` in all) by the base rules alone. Null languages and sources
-    are groups of their own. Null and empty texts fail the base rules. Only statistics that are above the centre where
+    its language, else (fewer than ``least`` of its language) by the base rules alone: never by another language.
+    Null languages and sources are groups of their own. Null and empty texts fail the base rules. Only statistics that are above the centre where
     high values mean junk (symbols, duplicate lines, repeats) or on either side (length, word length) count; all five do so
     together through the covariance.
     """
@@ -226,7 +235,7 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataF
     own = docs.select(*(F.col(f"`{c}`") for c in rest if c != "text"), common.column(docs, "text", "string").alias("text"))
     group = F.struct(common.column(docs, "lang", "string"), common.column(docs, "source", "string"))
     lang = F.to_json(F.struct(common.column(docs, "lang", "string").alias("l")))
-    keys = F.array(F.to_json(group), F.concat(F.lit("lang"), lang), F.lit("all"))
+    keys = F.array(F.to_json(group), F.concat(F.lit("lang"), lang))
     s = with_statistics(own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns if c != "text")).alias("rest"), "text", keys.alias("keys")))
     s = common.written(s.withColumn("base_failed", base_failed()), "quality")
     good = s.where(~F.col("base_failed"))

@@ -151,6 +151,24 @@ def test_outliers_go_and_others_stay(spark):
     assert again == first  # sums are exact, so the order of rows doesn't matter
 
 
+def test_small_languages_are_judged_by_themselves(spark):
+    rng = np.random.default_rng(2)
+    def text(lo, hi):
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(lo, hi))) for _ in range(rng.integers(60, 400)))
+
+    rows = [(i, text(2, 9), "en", "s") for i in range(300)] + [(300 + i, text(25, 40), "xx", "s") for i in range(40)]
+    rows += [(340 + i, " | ".join(text(25, 40).split()), "xx", "s") for i in range(4)] + [(344 + i, text(25, 40), "yy", "s") for i in range(5)]
+    out = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert sum(out[i].kept for i in range(300, 340)) >= 38
+    assert not any(out[i].kept for i in range(340, 344))
+    assert all(out[i].kept and out[i].distance2 is None for i in range(344, 349))
+
+
+def test_cutoff_is_a_quantile():
+    assert abs(quality.quantile(0.95) - 11.0705) < 1e-3 and abs(quality.quantile(0.999) - 20.515) < 1e-3
+    assert quality.CUTOFF == quality.quantile(1 - quality.TAIL)
+
+
 def test_concentration_against_plain_version(spark):
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=(500, 5)) * 300).astype(int)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.scalars import clipped_log
 
 
@@ -86,34 +87,66 @@ def kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 1, ite
     return KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="_v", predictionCol="label").fit(d).transform(d).drop("_v")
 
 
-def cluster_tree(df: DataFrame, children: int, least: int, key: str, features: str = "features", parent: str = "label", iterations: int = 20, sample: int = 20_000) -> DataFrame:
-    """Adds child and cluster = parent * children + child: every parent with ``least`` rows or more gets a k-means of its own,
-    fitted in one task on at most ``sample`` of its rows (the documented bound of the fit); all its rows are assigned by their nearest centre.
-    Smaller parents have child 0.
+#: Parents whose centres may be broadcast.
+PARENT_ROWS = 10_000
+
+
+def _sums(parent: str, features: str):
+    """Rows and sum of the features by parent and child: a row each a task, or more where a task has many."""
+    def run(frames):
+        held: dict = {}
+        flat = lambda: pd.DataFrame([(p, c, n, v.tolist()) for (p, c), (n, v) in held.items()], columns=["p", "child", "n", "s"])
+        for f in frames:
+            for k, g in f.groupby([parent, "child"]):
+                n, v = held.get(k, (0, 0.0))
+                held[k] = n + len(g), v + np.stack(g[features].to_numpy()).astype(float).sum(0)
+            if len(held) > PARENT_ROWS:
+                yield flat()
+                held.clear()
+        if held:
+            yield flat()
+
+    return run
+
+
+def cluster_tree(df: DataFrame, children: int, least: int, key: str, features: str = "features", parent: str = "label", iterations: int = 20) -> DataFrame:
+    """Adds child and cluster = parent * children + child: every parent with ``least`` rows or more gets a k-means of its own
+    over all its rows, started from rows drawn by hash. Smaller parents have child 0.
+
+    A step is one aggregate by (parent, nearest centre): tasks send sums, and no parent's rows come together in one task.
     """
-    def fit(f: pd.DataFrame) -> pd.DataFrame:
-        p = int(f[parent].iloc[0])
-        f = f.sort_values(key)
-        x = np.stack(f[features].to_numpy()).astype(float)
-        if f["_n"].iloc[0] < least:
-            return pd.DataFrame({"p": [p], "centres": [[x.mean(0).tolist()]]})
-        c = x[np.linspace(0, len(x) - 1, min(children, len(x))).astype(int)]
-        for _ in range(iterations):
-            own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-            new = np.stack([x[own == i].mean(0) if (own == i).any() else c[i] for i in range(len(c))])
-            if np.allclose(new, c):
-                break
-            c = new
-        return pd.DataFrame({"p": [p], "centres": [c.tolist()]})
-
-    n = df.groupBy(F.col(parent).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    d = df.join(F.broadcast(n), F.col(parent) == F.col("_p")).drop("_p")
-    drawn = d.where(F.pmod(F.xxhash64(key), F.col("_n")) < sample).select(parent, key, features, "_n")
-    centres = drawn.groupBy(parent).applyInPandas(fit, "p int, centres array<array<double>>")
-    dist = lambda c: F.aggregate(F.zip_with(c, F.col(features), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    ds = F.transform("centres", dist)
-    out = d.join(centres, F.col(parent) == F.col("p")).withColumn("_d", ds).withColumn("child", (F.array_position("_d", F.array_min("_d")) - 1).cast("int"))
-    return out.withColumn("cluster", (F.col(parent) * children + F.col("child")).cast("int")).drop("_d", "_n", "p", "centres")
+    n = df.groupBy(F.col(parent).alias("p")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("p")
+    n = storage.written(n, "cluster-tree")
+    rows = n.count()
+    small = (lambda c: F.broadcast(c)) if rows <= PARENT_ROWS else (lambda c: c)
+    d = df.where(F.col(parent).isNotNull()).select(F.col(parent).alias("p"), F.col(features).alias("x"), F.xxhash64(key).alias("h"), F.col(key).alias("k")).join(small(n), "p")
+    # The least hash of each of many classes, then the first of these: rows that are drawn without a sort of a parent.
+    first = d.groupBy("p", F.pmod("h", F.lit(64 * children)).alias("c")).agg(F.min(F.struct("h", "k", "x")).alias("m"))
+    first = first.groupBy("p").agg(F.slice(F.sort_array(F.collect_list("m")), 1, children).alias("m"))
+    centres = storage.written(first.select("p", F.transform("m", lambda m: F.transform(m["x"], lambda v: v.cast("double"))).alias("centres")), "cluster-tree")
+    dist = lambda x: lambda c: F.aggregate(F.zip_with(c, F.col(x), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+    def nearest(x: str):
+        ds = F.transform("centres", dist(x))
+        return (F.array_position(ds, F.array_min(ds)) - 1).cast("int")
+
+    kind = d.schema["p"].dataType.simpleString()
+    for _ in range(iterations):
+        part = d.join(small(centres), "p").select("p", "x", nearest("x").alias("child")).mapInPandas(_sums("p", "x"), f"p {kind}, child int, n bigint, s array<double>")
+        total = part.select("p", "child", "n", F.posexplode("s").alias("i", "v")).groupBy("p", "child", "i").agg((F.sum("v") / F.sum("n")).alias("v"))
+        mean = total.groupBy("p", "child").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("mean"))
+        # Centres without rows stay where they are.
+        old = centres.select("p", F.posexplode("centres").alias("child", "old")).join(mean, ["p", "child"], "left").withColumn("new", F.coalesce("mean", "old"))
+        far = F.exists(F.zip_with("old", "new", lambda a, b: F.abs(a - b) > 1e-8 + 1e-5 * F.abs(b)), lambda e: e)
+        new = old.groupBy("p").agg(F.transform(F.sort_array(F.collect_list(F.struct("child", "new"))), lambda e: e["new"]).alias("centres"), F.max(far).alias("moved"))
+        new = storage.written(new, "cluster-tree")
+        storage.dropped(centres)
+        centres = new.select("p", "centres")
+        centres.__dict__["_own_path"] = new.__dict__["_own_path"]
+        if not new.where("moved").limit(1).count():
+            break
+    out = df.join(small(centres), F.col(parent) == F.col("p"), "left").withColumn("child", F.when(F.col("p").isNull(), 0).otherwise(nearest(features)))
+    return out.withColumn("cluster", (F.col(parent) * children + F.col("child")).cast("int")).drop("p", "centres")
 
 
 def knn(df: DataFrame, key: str, k: int, features: str = "features", blocks: int = 8) -> DataFrame:

@@ -1,7 +1,7 @@
 """Grids: overlays, resampling, dense grids, coordinates.
 
 Searches within a radius are equi-joins on cells of the radius' size, never nested loops: one side is copied to the
-nine cells around it, and the exact distance decides.
+cells around it, and the exact distance decides.
 """
 
 from __future__ import annotations
@@ -12,9 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import haversine_km
-
-KM_PER_DEGREE = 111.19
+from ..functions.scalars import EARTH_KM, haversine_km
 
 
 def overlay(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -87,16 +85,22 @@ def nearest_resize(df: DataFrame, height: int, width: int, to_height: int, to_wi
 def within_radius(points: DataFrame, targets: DataFrame, km: float, by: Sequence[str] = ()) -> DataFrame:
     """Pairs of points and targets (both with lat, lon; targets as t_lat, t_lon) up to km apart, with their distance.
 
-    Cells: rows of km in latitude, columns of a fixed width in degrees that is km at 80 degrees of latitude, the limit.
-    Targets are copied to the nine cells around them. ``by``: further equality columns, such as the date.
+    Cells: cubes around places on the sphere in three dimensions, of the chord's length, so that poles and the 180 degree
+    meridian are like any other place. Targets are copied to the 27 cells around them. ``by``: further equality columns,
+    such as the date.
     """
-    dy = km / KM_PER_DEGREE
-    dx = dy / 0.1736  # cos of 80 degrees
-    p = points.withColumns({"_r": F.floor(F.col("lat") / dy).cast("int"), "_c": F.floor(F.col("lon") / dx).cast("int")})
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    t = targets.withColumns({"_r": F.explode(F.transform(near, lambda d: (F.floor(F.col("t_lat") / dy) + d).cast("int")))})
-    t = t.withColumn("_c", F.explode(F.transform(near, lambda d: (F.floor(F.col("t_lon") / dx) + d).cast("int"))))
-    out = p.join(t, [*by, "_r", "_c"]).drop("_r", "_c")
+    cells = ("_cx", "_cy", "_cz")
+    side = 2 * math.sin(min(km / (2 * EARTH_KM), math.pi / 2)) * (1 + 1e-6)
+
+    def cell(lat: str, lon: str) -> list[Column]:
+        la, lo = F.radians(lat), F.radians(lon)
+        return [F.floor(v / side) for v in (F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))]
+
+    p = points.withColumns(dict(zip(cells, cell("lat", "lon"))))
+    t = targets.withColumns(dict(zip(cells, cell("t_lat", "t_lon"))))
+    for c in cells:
+        t = t.withColumn(c, F.explode(F.array(*(F.col(c) + d for d in (-1, 0, 1)))))
+    out = p.join(t, [*by, *cells]).drop(*cells)
     return out.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))).where(F.col("km") <= km)
 
 
@@ -128,7 +132,9 @@ def bilinear(source: DataFrame, targets: DataFrame, km: float, key: Sequence[str
     """Each target's value from the nearest source in each of the four quadrants around it, within km, weighted by the
     inverse of the distance; NULL unless all four have one. An exact hit takes its source."""
     m = within_radius(source, targets, km)
-    quadrant = (F.col("lat") >= F.col("t_lat")).cast("int") * 2 + (F.col("lon") >= F.col("t_lon")).cast("int")
+    east = F.col("lon") - F.col("t_lon")
+    east = F.when(F.abs(east) <= 180, east).otherwise(F.pmod(east + 180, F.lit(360.0)) - 180)  # across the 180 degree meridian
+    quadrant = (F.col("lat") >= F.col("t_lat")).cast("int") * 2 + (east >= 0).cast("int")
     q = m.groupBy(*key, quadrant.alias("q")).agg(F.min(F.struct("km", value)).alias("m"))
     w = 1 / F.greatest(F.col("m.km"), F.lit(1e-9))
     out = q.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), (F.sum(w * F.col(f"m.{value}")) / F.sum(w)).alias("v"), F.min(F.col("m.km")).alias("least"), F.min_by(f"m.{value}", "m.km").alias("hit"))

@@ -9,6 +9,30 @@ from pyspark.sql import functions as F
 from rasterloom.operators import grid, learning
 
 
+def plain_km(a, b, c, d):
+    a, b, c, d = map(math.radians, (a, b, c, d))
+    h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+    return 2 * 6371.0088 * math.asin(math.sqrt(min(1.0, h)))
+
+
+def test_radius_at_poles_and_across_the_dateline(spark):
+    rng = np.random.default_rng(5)
+    places = [(90.0, 0.0), (-90.0, 10.0), (89.9, 170.0), (89.9, -10.0), (10.0, 179.99), (10.0, -179.99), (10.0, 180.0), (10.0, -180.0)]
+    places += [(float(a), float(b)) for a, b in zip(rng.uniform(86, 90, 60), rng.uniform(-180, 180, 60))]
+    places += [(float(a), float(b - 360 * (b > 180))) for a, b in zip(rng.uniform(-3, 3, 60), rng.uniform(178, 182, 60))]
+    pts = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id int, lat double, lon double")
+    tgt = pts.select(F.col("id").alias("tid"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
+    for km in (50, 300):
+        got = sorted((r.id, r.tid) for r in grid.within_radius(pts, tgt, km).collect())
+        assert got == sorted((i, j) for i, a in enumerate(places) for j, b in enumerate(places) if plain_km(*a, *b) <= km)
+
+
+def test_bilinear_across_the_dateline(spark):
+    src = spark.createDataFrame([(0.1, 179.9, 1.0), (-0.1, 179.9, 1.0), (0.1, -179.9, 3.0), (-0.1, -179.9, 3.0)], "lat double, lon double, value double")
+    tgt = spark.createDataFrame([("k", 0.0, 180.0)], "k string, t_lat double, t_lon double")
+    assert grid.bilinear(src, tgt, 60, ["k"]).first().value == pytest.approx(2.0)
+
+
 def test_cluster_tree_fits_all_rows(spark):
     # 24,000 rows of one parent: the centres are the means of all rows that they get.
     rng = np.random.default_rng(9)

@@ -96,6 +96,13 @@ def iic_loss(spark, d):
 
 @query(f"with {PX}, q as (select i, (select quantile_cont(value, i / 100) from px where truth = 0) as a, (select quantile_cont(value, i / 100) from px where truth = 1) as b from (select i::double as i from range(0, 101) r(i))) select round(sum(abs(a - b)) / 101, 3) as distance from q".replace("quantile_cont(value, i / 100) from px where truth = 0", "list_extract(quantile_cont(value, [k / 100.0 for k in range(0, 101)]), i::int + 1) from px where truth = 0").replace("quantile_cont(value, i / 100) from px where truth = 1", "list_extract(quantile_cont(value, [k / 100.0 for k in range(0, 101)]), i::int + 1) from px where truth = 1"))
 def wasserstein(spark, d):
+    p = px(spark, d)
+    return learning.quantile_distance(p.where("truth = 0"), p.where("truth = 1"), "value").select(F.round("distance", 3).alias("distance"))
+
+
+@query(f"""with {PX}, c as (select value as v, count(*) filter (where truth = 0) as a, count(*) filter (where truth = 1) as b from px where truth < 2 group by value),
+ s as (select v, sum(a) over w / sum(a) over () as fa, sum(b) over w / sum(b) over () as fb, lead(v) over (order by v) as nxt from c window w as (order by v)) select round(sum(abs(fa - fb) * (nxt - v)), 3) as distance from s""")
+def wasserstein_whole(spark, d):
     p = px(spark, d)
     return learning.wasserstein_1d(p.where("truth = 0"), p.where("truth = 1"), "value").select(F.round("distance", 3).alias("distance"))
 

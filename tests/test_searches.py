@@ -33,6 +33,17 @@ def test_bilinear_across_the_dateline(spark):
     assert grid.bilinear(src, tgt, 60, ["k"]).first().value == pytest.approx(2.0)
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 200])
+def test_wasserstein_counts_every_row(spark, buckets):
+    rng = np.random.default_rng(7)
+    x, y = np.exp(rng.normal(size=700) * 2).round(2), np.append(np.exp(rng.normal(size=450)).round(2), 1e6)
+    v = np.sort(np.concatenate([x, y]))
+    shares = [np.searchsorted(np.sort(s), v[:-1], "right") / len(s) for s in (x, y)]
+    a, b = (spark.createDataFrame([(float(e),) for e in s] + [(None,)], "value double") for s in (x, y))
+    assert learning.wasserstein_1d(a, b, "value", buckets).first().distance == pytest.approx(float((np.abs(shares[0] - shares[1]) * np.diff(v)).sum()))
+    assert learning.wasserstein_1d(a, b.where("value < 0"), "value", buckets).first().distance is None
+
+
 def test_cluster_tree_fits_all_rows(spark):
     # 24,000 rows of one parent: the centres are the means of all rows that they get.
     rng = np.random.default_rng(9)

@@ -19,6 +19,9 @@ from ..storage import dropped, new_path, shared_dir, written  # noqa: F401
 #: Rows up to which a column of ids is broadcast (a hash relation of some 32 bytes a row); beyond it, a shuffle join.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of an Arrow batch that a Python task handles at once.
+SLICE_ROWS = 1_000
+
 #: White space of the contracts' words, as a Java character class and as bytes.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -30,6 +33,13 @@ def column(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def sliced(batches, rows: int = SLICE_ROWS):
+    """Arrow batches in parts of some rows, so that what is made of one is handed on before the next is read."""
+    for b in batches:
+        for a in range(0, max(1, b.num_rows), rows):
+            yield b.slice(a, rows)
+
+
 def take(df: DataFrame, *names: str) -> DataFrame:
     """doc_id, text and the named columns only."""
     kinds = {"doc_id": "bigint"}

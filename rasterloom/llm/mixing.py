@@ -85,23 +85,48 @@ def thresholds(sized: DataFrame, budgets: DataFrame, rows: int) -> DataFrame:
     return common.written(state.select("source", "budget", (F.col("prefix") + F.when(take, 1).otherwise(0)).alias("cut")), "mix")
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken = copies * size for each row of docs.
-
-    A source whose target is q whole sizes and a rest gives every document q times and those under its hash threshold
-    once more. Null text: size 0. An empty table gives no row; a source of size 0 has target 0 and takes nothing.
-    Rows that repeat a doc_id hash alike and are taken alike. Null sources are one source, the last.
-    """
-    d = common.take(docs, "source")
-    sized = common.written(d.select("doc_id", "source", words(F.col("text")).alias("size"), hash30(F.col("doc_id")).alias("h")), "mix")
+def plan(sized: DataFrame, weights, share: float, most: int) -> tuple[DataFrame, int]:
+    """of, source_size, target, whole, cut of each source of sized (source, size, h), and how many there are: each document is
+    taken ``whole`` times, and once more if its hash is below ``cut``."""
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = common.written(targets(sums, weights, share, float(most)), "mix")
     n = goal.count()
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     goal = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     cut = thresholds(sized, goal.where("budget > 0").select("source", "budget"), n)
-    plan = goal.alias("g").join(small(cut, n).alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").select(
+    out = goal.alias("g").join(small(cut, n).alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").select(
         F.col("g.source").alias("of"), "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
-    out = sized.join(small(plan, n), F.col("source").eqNullSafe(F.col("of")))
-    copies = F.least(F.lit(most).cast("bigint"), F.col("whole") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return common.written(out, "mix-plan"), n
+
+
+def copies(h: Column, most: int) -> Column:
+    """How often the joined plan takes a document of that hash."""
+    return F.least(F.lit(most).cast("bigint"), F.col("whole") + F.when(h < F.col("cut"), 1).otherwise(0))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    d = common.take(docs, "source")
+    return common.written(d.select("doc_id", "source", words(F.col("text")).alias("size"), hash30(F.col("doc_id")).alias("h")), "mix")
+
+
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken = copies * size for each row of docs.
+
+    A source whose target is q whole sizes and a rest gives every document q times and those under its hash threshold
+    once more. Null text: size 0. An empty table gives no row; a source of size 0 has target 0 and takes nothing.
+    Rows that repeat a doc_id hash alike and are taken alike. Null sources are one source, the last.
+    """
+    sized = _sized(docs)
+    goal, n = plan(sized, weights, share, most)
+    out = sized.join(small(goal, n), F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies(F.col("h"), most))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The rows of docs, all columns as they are, each as often as mix() takes it. Decided on each row itself, so rows without
+    an id are mixed like any other."""
+    goal, n = plan(_sized(docs), weights, share, most)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    d = docs.select(row, common.column(docs, "source", "string").alias("source"), hash30(common.column(docs, "doc_id", "bigint")).alias("h"))
+    out = d.join(small(goal, n), F.col("source").eqNullSafe(F.col("of"))).select("row", F.explode(F.array_repeat(F.lit(True), copies(F.col("h"), most).cast("int"))))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -1,12 +1,17 @@
 """Operator 4: quality rules with robust multivariate outliers.
 
 Base rules reject documents with too few words or too much repetition. The rest are judged by language and source: a
-minimum-covariance-determinant estimate of the transformed statistics gives a centre and scatter that junk can't pull
-towards itself, and documents far off in the junk's directions by Mahalanobis distance go.
+minimum-covariance-determinant estimate of five transformed statistics gives a centre and scatter that junk can't pull
+towards itself, and documents far from the centre by Mahalanobis distance, on either side, go.
 
-The estimates cover all documents. A concentration step is one aggregate over the table of statistics: moments by group
-and bin of distance; the bins with the smallest distances that hold the wanted share give the next centre and scatter. Statistics are fixed-point integers, so sums don't depend on the order of rows and reruns agree. No group's rows
-come together in one task; a group's moments are one row.
+The estimates cover all documents. Concentration steps run from three deterministic starts until the determinant stops
+falling, and the fit of the least determinant counts. A step is one aggregate over the table of statistics: moments by group,
+start and bin of distance; the bins with the smallest distances, the last one in part, hold the wanted share and give the next
+centre and scatter. Statistics are fixed-point integers, so sums don't depend on the order of rows and reruns agree.
+No group's rows come together in one task; a group's moments are one row a bin.
+
+There is no least size of a group: a source's fit is drawn towards its language's as if PRIOR documents more had that,
+a language's scatter towards a wide one (its centre stays its own), and no scatter is narrower than the floors.
 """
 
 from __future__ import annotations
@@ -23,14 +28,17 @@ from . import common
 SYMBOLS = "#*$%&|<>"
 #: Fixed point of the transformed statistics.
 SCALE = 1024
-#: The transformed statistics, in order; their least standard deviations (below, a statistic that hardly varies in a
-#: group would turn any deviation into an outlier); and their weights in the distance.
+#: The transformed statistics, in order; their least standard deviations, in any direction (below, a statistic that hardly
+#: varies in a group would turn any deviation into an outlier); and the wide ones that a language starts from.
 STATS = ("x_len", "x_word", "x_symbols", "x_lines", "x_repeat")
-FLOOR = (0.5, 0.04, 0.06, 0.06, 0.1)
-#: Share of a group's documents that an estimate concentrates on, steps, and documents that a group needs for its own.
+#: By the floors alone, a mean word length a third off and the share of repeated words that the base rules allow are no outliers.
+FLOOR = (0.5, 0.05, 0.06, 0.06, 0.12)
+WIDE = (1.5, 0.35, 0.12, 0.2, 0.3)
+#: Documents that the wider fit counts as.
+PRIOR = 30
+#: Share of a group's documents that an estimate concentrates on; fall of the determinant's logarithm that goes on.
 HALF = 0.75
-STEPS = 4
-LEAST = 30
+FALL = 0.01
 #: Chance that a normal document's squared distance is above the cutoff.
 TAIL = 1e-6
 #: Groups whose fits may be broadcast (some 300 bytes each).
@@ -65,19 +73,22 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, dup, repeat
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """Adds s: the five statistics and the number of lines with a word, as a struct of longs."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def with_statistics(docs: DataFrame, inside: str | None = None) -> DataFrame:
+    """Adds the five statistics of text as longs, in place of text; of that struct's text, which stays, if one is named."""
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        for b in batches:
-            got = [statistics(x.as_py()) for x in b.column(0)]
+        for b in common.sliced(batches):
+            texts = b.column("text") if inside is None else b.column(inside).field("text")
+            got = [statistics(x.as_py()) for x in texts]
             cols = [pa.array([g[k] for g in got], pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *cols], names=[*rest, *COUNTS])
 
-    rest = [c for c in docs.columns if c != "text"]
-    names = [*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.select("text", *rest).mapInArrow(run, f"{kinds}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
+    return docs.mapInArrow(run, f"{kinds}, {', '.join(f'{c} bigint' for c in COUNTS)}")
 
 
 def base_failed(min_words: int = 50, max_repeat: int = 50):
@@ -135,29 +146,47 @@ def consistency(share: float, dims: int = 5) -> float:
 CUTOFF = quantile(1 - TAIL)
 
 
-FIT = "g string, n bigint, centre array<double>, inverse array<double>"
+#: A fit: centre, inverse and scatter (rows of 5 x 5) of a group of n documents, and the logarithm of its determinant.
+FIT = "g string, start int, n bigint, centre array<double>, inverse array<double>, scatter array<double>, logdet double"
+
+
+def bounded(cov: np.ndarray) -> np.ndarray:
+    """The covariance with a standard deviation of a floor at least in each direction."""
+    unit = np.outer(FLOOR, FLOOR)
+    w, v = np.linalg.eigh(cov / unit)
+    return (v * np.maximum(w, 1)) @ v.T * unit
+
+
+def _fit_row(g: str, start: int, n: int, centre: np.ndarray, cov: np.ndarray, logdet: float | None = None) -> tuple:
+    cov = bounded(cov)
+    return g, start, n, centre.tolist(), np.linalg.inv(cov).ravel().tolist(), cov.ravel().tolist(), float(np.linalg.slogdet(cov)[1]) if logdet is None else logdet
+
 
+def _fit_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.list_(pa.float64())] * 3, pa.float64()]
+    return pa.table([pa.array([r[k] for r in rows], kinds[k]) for k in range(7)], names=["g", "start", "n", "centre", "inverse", "scatter", "logdet"])
 
-def _fit_row(g: str, n: int, centre: np.ndarray, inverse: np.ndarray) -> pa.Table:
-    return pa.table({"g": pa.array([g], pa.string()), "n": pa.array([n], pa.int64()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "inverse": pa.array([inverse.ravel().tolist()], pa.list_(pa.float64()))})
 
+def concentrated(count: np.ndarray, sums: np.ndarray, products: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of the nearest ``half`` from moments by distance bin, nearest first; the last bin in part."""
+    share = half * count.sum()
+    before = np.cumsum(count) - count
+    w = np.clip((share - before) / count, 0, 1)
+    mean = w @ sums / share
+    cov = np.zeros((5, 5))
+    for k, (i, j) in enumerate(_PAIRS):
+        cov[i, j] = cov[j, i] = w @ products[:, k] / share - mean[i] * mean[j]
+    return mean / SCALE, cov * consistency(half) / SCALE**2
 
-def _concentrated(half: float, factor: float):
-    """The next fit of a group from its moments by distance bin: those of the bins up to the one that completes the half."""
+
+def _concentrated(half: float):
+    """The next fit of a group and start from its moments by distance bin."""
     def run(t: pa.Table) -> pa.Table:
         o = np.argsort(t.column("bin").to_numpy())
-        count = t.column("n").to_numpy()[o]
-        k = int(np.searchsorted(np.cumsum(count), half * count.sum())) + 1
-        total = lambda name: sum(int(v) for v in t.column(name).to_numpy()[o][:k])
-        n = int(count[:k].sum())
-        mean = np.array([total(f"s{i}") for i in range(5)], float) / n
-        cov = np.zeros((5, 5))
-        for i, j in _PAIRS:
-            cov[i, j] = cov[j, i] = total(f"p{i}{j}") / n - mean[i] * mean[j]
-        cov = cov * factor / SCALE**2
-        d = np.arange(5)
-        cov[d, d] = np.maximum(cov[d, d], 0) + np.array(FLOOR) ** 2
-        return _fit_row(t.column("g")[0].as_py(), int(count.sum()), mean / SCALE, np.linalg.inv(cov))
+        of = lambda name: t.column(name).to_numpy()[o].astype(float)
+        count = of("n")
+        mean, cov = concentrated(count, np.stack([of(f"s{i}") for i in range(5)], 1), np.stack([of(f"p{i}{j}") for i, j in _PAIRS], 1), half)
+        return _fit_table([_fit_row(t.column("g")[0].as_py(), t.column("start")[0].as_py(), int(count.sum()), mean, cov)])
 
     return run
 
@@ -174,7 +203,7 @@ def _bin(d2):
 
 
 def _medians(t: pa.Table) -> pa.Table:
-    """The first fit of a group: the median and median deviation of each statistic, from its histograms."""
+    """The median and median deviation of each statistic of a group, from its histograms."""
     k, b, n = (t.column(c).to_numpy() for c in ("k", "b", "n"))
     centre, spread = np.zeros(5), np.zeros(5)
 
@@ -186,15 +215,39 @@ def _medians(t: pa.Table) -> pa.Table:
         own = k == i
         v = (b[own] + 0.5) * 16 / SCALE
         centre[i] = middle(v, n[own])
-        spread[i] = 1.4826 * middle(np.abs(v - centre[i]), n[own])
-    return _fit_row(t.column("g")[0].as_py(), int(n[k == 0].sum()), centre, np.diag(1 / (spread**2 + np.array(FLOOR) ** 2)))
+        spread[i] = max(1.4826 * middle(np.abs(v - centre[i]), n[own]), FLOOR[i])
+    return pa.table({"g": t.column("g").slice(0, 1), "n": pa.array([int(n[k == 0].sum())], pa.int64()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "spread": pa.array([spread.tolist()], pa.list_(pa.float64()))})
+
+
+def _starts(t: pa.Table) -> pa.Table:
+    """Three first fits of a group: by medians and deviations alone, and with the correlations of bounded scores and of directions."""
+    r = t.to_pylist()[0]
+    d = np.array(r["spread"])
+    rows = [_fit_row(r["g"], 0, r["n"], np.array(r["centre"]), np.diag(d**2), math.inf)]
+    for k, name in ((1, "t"), (2, "u")):
+        c = np.zeros((5, 5))
+        for i, j in _PAIRS:
+            c[i, j] = c[j, i] = r[f"{name}{i}{j}"]
+        size = np.sqrt(np.maximum(np.diag(c), 1))
+        c = c / np.outer(size, size)
+        np.fill_diagonal(c, 1)
+        rows.append(_fit_row(r["g"], k, r["n"], np.array(r["centre"]), c * np.outer(d, d), math.inf))
+    return _fit_table(rows)
 
 
-def start(df: DataFrame) -> DataFrame:
-    """Robust first centre and scatter of each group, from exact histograms of each statistic."""
+def start(df: DataFrame, rows: int) -> DataFrame:
+    """First fits of each group, from exact histograms of each statistic and sums of products of transformed scores."""
     long = df.select("g", F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.floor(F.col(c) / 16).cast("int").alias("b")) for i, c in enumerate(STATS)))).alias("e"))
     hist = long.groupBy("g", F.col("e.k").alias("k"), F.col("e.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return hist.groupBy("g").applyInArrow(_medians, FIT)
+    mid = common.written(hist.groupBy("g").applyInArrow(_medians, "g string, n bigint, centre array<double>, spread array<double>"), "medians")
+    z = df.join(small(mid.withColumnRenamed("g", "_g"), rows), F.col("g") == F.col("_g"))
+    z = z.select("g", *(((F.col(k) / SCALE - F.col("centre")[i]) / F.col("spread")[i]).alias(f"z{i}") for i, k in enumerate(STATS)))
+    size = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(5)), F.lit(1e-12)))
+    # In fixed point, so that sums don't depend on the order of rows.
+    whole = lambda x: F.round(x * SCALE).cast("bigint")
+    z = z.select("g", *(whole(F.tanh(f"z{i}")).alias(f"t{i}") for i in range(5)), *(whole(F.col(f"z{i}") / size).alias(f"u{i}") for i in range(5)))
+    sums = z.groupBy("g").agg(*(F.sum(F.col(f"{k}{i}") * F.col(f"{k}{j}")).alias(f"{k}{i}{j}") for k in "tu" for i, j in _PAIRS))
+    return sums.join(mid, "g").groupBy("g").applyInArrow(_starts, FIT)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -202,62 +255,111 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= GROUP_ROWS else df
 
 
-def with_group(df: DataFrame, fits: DataFrame, rows: int, how: str = "inner") -> DataFrame:
-    f = fits.select(F.col("g").alias("_g"), "centre", "inverse")
+def with_fit(df: DataFrame, fits: DataFrame, rows: int, how: str = "inner") -> DataFrame:
+    f = fits.select(F.col("g").alias("_g"), *(c for c in ("start", "centre", "inverse") if c in fits.columns))
     return df.join(small(f, rows), F.col("g") == F.col("_g"), how).drop("_g")
 
 
-def estimates(stats: DataFrame, rows: int, steps: int = STEPS, half: float = HALF) -> DataFrame:
-    """g, n, centre, inverse of each group after ``steps`` concentration steps over all its rows.
+def estimates(stats: DataFrame, rows: int, half: float = HALF) -> DataFrame:
+    """The fit of each group with the least determinant. rows: how many groups there are.
 
-    A step is one pass: moments by group and distance bin, at most 8 * BINS + 1 rows a group, then one fit a group.
+    A step is one pass: moments by group, start and distance bin, at most 8 * BINS + 1 rows each, then one fit each. Fits
+    whose determinant doesn't fall any more stand still; when all do, the least of a group's three is its estimate.
     """
-    fits = common.written(start(stats), "mcd")
-    nearest = _concentrated(half, consistency(half))
-    for _ in range(steps):
-        d = with_group(stats, fits, rows).withColumn("bin", _bin(distance()))
-        new = common.written(moments("g", "bin")(d).groupBy("g").applyInArrow(nearest, FIT), "mcd")
+    fits = common.written(start(stats, rows).withColumn("moved", F.lit(True)), "mcd")
+    while True:
+        d = with_fit(stats, fits.where("moved"), 3 * rows).withColumn("bin", _bin(distance()))
+        new = moments("g", "start", "bin")(d).groupBy("g", "start").applyInArrow(_concentrated(half), FIT).alias("new")
+        old = fits.alias("old")
+        on = (F.col("old.g") == F.col("new.g")) & (F.col("old.start") == F.col("new.start"))
+        falls = F.coalesce(F.col("new.logdet") < F.col("old.logdet") - FALL, F.lit(False))
+        pick = [F.when(falls, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in fits.columns if c != "moved"]
+        nxt = common.written(old.join(new, on, "left").select(*pick, falls.alias("moved")), "mcd")
         common.dropped(fits)
-        fits = new
-    return fits
+        fits = nxt
+        if fits.where("moved").isEmpty():
+            break
+    names = [c for c in fits.columns if c not in ("g", "moved")]
+    return fits.groupBy("g").agg(F.min(F.struct("logdet", *(c for c in names if c != "logdet"))).alias("f")).select("g", *(f"f.{c}" for c in names))
+
+
+FINAL = "g string, centre array<double>, inverse array<double>"
+
+
+def _drawn(t: pa.Table) -> pa.Table:
+    """A source's fit, drawn towards its language's, and that towards the wide scatter."""
+    r = t.to_pylist()[0]
+    mix = lambda n, own, other: (n * np.array(own) + PRIOR * np.array(other)) / (n + PRIOR)
+    wide = mix(r["lang_n"], r["lang_scatter"], np.diag(np.array(WIDE) ** 2).ravel())
+    cov = bounded(mix(r["n"], r["scatter"], wide).reshape(5, 5))
+    centre = mix(r["n"], r["centre"], r["lang_centre"])
+    return pa.table({"g": t.column("g").slice(0, 1), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "inverse": pa.array([np.linalg.inv(cov).ravel().tolist()], pa.list_(pa.float64()))})
 
 
-def judged(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
-    """All columns of docs but text, with the statistics, base_failed, distance2 and kept.
+def fitted(stats: DataFrame) -> tuple[DataFrame, int]:
+    """g, centre, inverse of each language and source of stats (lang, source, STATS), and how many there are."""
+    groups = common.written(stats.select("lang", "source").distinct().select(_group().alias("g"), _language().alias("l")), "groups")
+    n = groups.count()
+    both = F.explode(F.array(_group(), _language())).alias("g")
+    fits = common.written(estimates(stats.select(both, *STATS), 2 * n), "mcd")
+    lang = fits.select(F.col("g").alias("l"), F.col("n").alias("lang_n"), F.col("centre").alias("lang_centre"), F.col("scatter").alias("lang_scatter"))
+    drawn = groups.join(fits, "g").join(lang, "l").groupBy("g").applyInArrow(_drawn, FINAL)
+    return common.written(drawn, "fits"), n
 
-    A document is judged in its language and source if at least ``least`` documents of theirs pass the base rules, else in
-    its language, else (fewer than ``least`` of its language) by the base rules alone: never by another language.
-    Null languages and sources are groups of their own. Null and empty texts fail the base rules. Only statistics that are above the centre where
-    high values mean junk (symbols, duplicate lines, repeats) or on either side (length, word length) count; all five do so
-    together through the covariance.
+
+def _group():
+    return F.to_json(F.struct("lang", "source"))
+
+
+def _language():
+    return F.concat(F.lit("lang"), F.to_json(F.struct("lang")))
+
+
+NAMES = (*COUNTS, "base_failed", "distance2", "kept")
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    """rest (the columns but text and NAMES, as a struct), text, lang, source."""
+    rest = [c for c in docs.columns if c not in (*NAMES, "text")]
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(None).cast("int").alias("_")).alias("rest"), *_named(docs))
+
+
+def _named(docs: DataFrame) -> list:
+    return [common.column(docs, c, "string").alias(c) for c in ("text", "lang", "source")]
+
+
+def _verdict(s: DataFrame, fits: DataFrame, rows: int, cutoff: float) -> DataFrame:
+    out = with_fit(s.select("*", _group().alias("g"), *transformed()), fits, rows, "left")
+    out = out.withColumn("distance2", F.when(F.col("centre").isNotNull(), distance()))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff))
+
+
+def _statistics(docs: DataFrame) -> DataFrame:
+    return common.written(with_statistics(_own(docs)).withColumn("base_failed", base_failed()), "quality")
+
+
+def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """All columns of docs but text, with the statistics, base_failed, distance2 and kept, for each row.
+
+    A document is judged in its language and source. Null languages and sources are groups of their own, as is every row's
+    where docs has no such column. Null and empty texts fail the base rules; documents that do are no part of an
+    estimate, and their distance is null where no document of their group passes. Equal rows get equal verdicts. An empty table gives no
+    row. Columns of docs named like one of NAMES are replaced.
     """
-    rest = [c for c in docs.columns if c not in NAMES]
-    own = docs.select(*(F.col(f"`{c}`") for c in rest if c != "text"), common.column(docs, "text", "string").alias("text"))
-    group = F.struct(common.column(docs, "lang", "string"), common.column(docs, "source", "string"))
-    lang = F.to_json(F.struct(common.column(docs, "lang", "string").alias("l")))
-    keys = F.array(F.to_json(group), F.concat(F.lit("lang"), lang))
-    s = with_statistics(own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns if c != "text")).alias("rest"), "text", keys.alias("keys")))
-    s = common.written(s.withColumn("base_failed", base_failed()), "quality")
-    good = s.where(~F.col("base_failed"))
-    # The finest group with enough documents: one row a group, then one row a key.
-    sizes = good.groupBy("keys").agg(F.count(F.lit(1)).alias("n"))
-    sizes = common.written(sizes.select("n", F.explode("keys").alias("g")).groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "quality")
-    big = sizes.count()
-    keyed = s.select("keys").distinct().select("keys", F.posexplode("keys").alias("pos", "g"))
-    chosen = keyed.join(sizes.select("g"), "g").groupBy("keys").agg(F.min_by("g", "pos").alias("g"))
-    chosen = common.written(chosen, "quality")
-    placed = s.join(small(chosen.withColumnRenamed("keys", "_keys"), chosen.count()), F.col("keys") == F.col("_keys"), "left").drop("_keys")
-    # A coarse group is estimated from all its documents, also from those that finer groups judge.
-    used = chosen.select("g").distinct()
-    member = good.select(F.explode("keys").alias("g"), *transformed()).join(small(used, big), "g", "left_semi")
-    stats = common.written(member, "quality")
-    fits = estimates(stats, big)
-    out = with_group(placed.select("*", *transformed()), fits, big, "left")
-    far = F.when(F.col("centre").isNotNull(), distance())
-    out = out.withColumn("distance2", far).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff))
-    common.dropped(stats, sizes)
-    return out.select("rest.*", *NAMES)
-
-
-NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept")
+    s = _statistics(docs)
+    fits, n = fitted(s.where(~F.col("base_failed")).select("lang", "source", *transformed()))
+    names = [c for c in docs.columns if c not in (*NAMES, "text")]
+    return _verdict(s, fits, n, cutoff).select(*(F.col(f"rest.`{c}`").alias(c) for c in names), *NAMES)
+
 
+def kept_rows(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of docs, all columns as they are, that judged() keeps.
+
+    The verdict is taken on each row itself, not fetched by its id: rows without an id, or with another row's, are judged by
+    their own text.
+    """
+    fits, n = fitted(_statistics(docs).where(~F.col("base_failed")).select("lang", "source", *transformed()))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), common.column(docs, "text", "string").alias("text"))
+    s = with_statistics(docs.select(row.alias("row"), *_named(docs)[1:]), "row")
+    out = _verdict(s.withColumn("base_failed", base_failed()), fits, n, cutoff)
+    return out.where("kept").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

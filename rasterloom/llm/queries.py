@@ -28,7 +28,7 @@ def op3_license_scan(spark, sf_dir):
 
 
 def op4_quality(spark, sf_dir):
-    out = quality.judged(_docs(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    out = quality.judged(_docs(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance2", 6).alias("distance2"))
 
 

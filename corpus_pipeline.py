@@ -21,37 +21,52 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the robust outlier test keep."""
-    kept = quality.judged(docs.select("doc_id", "text", "lang", "source")).where("kept").select("doc_id")
-    ids = common.written(kept, "kept")
-    return common.joined_by_size(docs, ids, "doc_id", "left_semi")
+    """Documents that the base rules and the robust outlier test keep.
+
+    Each row is judged by its own text, whatever its doc_id: null, or another row's. Null and empty texts go, equal rows go or
+    stay together, and an empty table stays empty. Null languages and sources are groups of their own.
+    """
+    return quality.kept_rows(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that MIN_DOCS documents share; those that lose all their words go."""
+    """Documents without the lines that MIN_DOCS documents share; those that have no word left go, null and empty texts too.
+
+    Each row counts as a document, also those that repeat a doc_id or have none. An empty table stays empty.
+    """
     out = lines.dedup_lines(docs, min_docs=MIN_DOCS, least=1)
     return _columns(out.where(F.col("text").rlike(common.WORD_CLASS)), docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
-    groups = jaccard.near_duplicates(docs, percent=PERCENT)
+    """The first document of each group of near duplicates, by doc_id.
+
+    Of rows that repeat a doc_id, one stays: that of the least text digest. Rows without a doc_id have no links and stay, as do
+    null and empty texts. An empty table stays empty.
+    """
+    groups = common.written(jaccard.near_duplicates(docs, percent=PERCENT), "groups")
     ids = common.written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    return common.without(docs, ids)
+    left = common.without(docs, ids)
+    again = common.written(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    n = again.count()
+    if not n:
+        return left
+    row = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), F.xxhash64(*(f"`{c}`" for c in docs.columns)).alias("tie"), *(F.col(f"`{c}`") for c in docs.columns))
+    one = common.joined_by_size(left, again, "doc_id", "left_semi", n).groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(row, F.struct(row["key"], row["tie"])).alias("row"))
+    return common.without(left, again, n).unionByName(one.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; copies keep their doc_id. Documents that it doesn't take go."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("_copies"))
-    # A document is taken twice at most: one row to add for those that are.
-    twice = common.written(copies.where("_copies > 1").select("doc_id").distinct(), "mix-twice")
-    once = common.written(copies.select("doc_id").distinct(), "mix-once")
-    first = common.joined_by_size(docs, once, "doc_id", "left_semi")
-    return first.unionByName(common.joined_by_size(docs, twice, "doc_id", "left_semi"))
+    """Each document as often as the mix takes it, as rows that keep their doc_id; documents that it doesn't take go.
+
+    Null and empty texts have size 0 and are taken like others of their source. Rows that repeat a doc_id, or have none,
+    are taken alike. Null sources are one source. An empty table stays empty.
+    """
+    return mixing.mixed_rows(docs)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; a null or empty text has the begin and end ids only."""
     return sentence_pieces.encode_decode(docs, public_tokenizers.path(MODEL), digests=True)
 
 

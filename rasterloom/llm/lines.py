@@ -2,11 +2,11 @@
 
 Each scan task adds the hashes of its line keys to a once-seen and a twice-seen filter; the filters of all tasks are
 merged slice by slice. Only lines that the twice-seen filter suspects are shuffled, to confirm by exact counts of
-their keys and to choose the first occurrence; all others, most lines of a corpus, never leave their task.
+their keys' digests (128 bits of SHA-256) and to choose the first occurrence; all others, most lines of a corpus, never leave their task.
 
 The filters have one hash function over 2**BITS bits, cut into slices that different tasks merge. A false positive
 costs one shuffled row and never changes a result. Beyond some 2**BITS lines everything is suspected: the operator then
-shuffles 40 bytes a line and stays exact.
+shuffles a digest and an id a line, 24 bytes whatever its length, and stays exact.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of the twice-seen filter that is broadcast, at most (32 MB at 28; fewer for small inputs), and slices that are merged apart.
-BITS = 28
+#: Bits of the twice-seen filter that is broadcast, at most (16 MB at 27; fewer for small inputs), and slices that are merged apart.
+BITS = 27
 SLICES = 64
 #: Positions that a scan task holds before it writes them out, and rows that it hashes at once.
-FLUSH = 4_000_000
-ROWS = 10_000
-#: Keys that may be broadcast (16 bytes each).
+FLUSH = 1_000_000
+ROWS = 1_000
+#: Keys that may be broadcast (16 bytes each, in a worker too).
 BAD_KEYS = 1_000_000
 
 
@@ -47,8 +47,8 @@ def keys_of(text: str | None, least: int) -> list[bytes]:
 
 
 def sized(keys: float) -> int:
-    """Bits of a filter for that many keys: eight bits a key, 2**16 to 2**BITS."""
-    return max(16, min(BITS, math.ceil(math.log2(max(1, 8 * keys)))))
+    """Bits of a filter for that many keys: four bits a key, 2**16 to 2**BITS."""
+    return max(16, min(BITS, math.ceil(math.log2(max(1, 4 * keys)))))
 
 
 def bits_for(docs: DataFrame) -> int:
@@ -82,7 +82,7 @@ def merged(rows, bits: int) -> bytes:
     return np.packbits(twice).tobytes()
 
 
-def twice_filter(df: DataFrame, hashes_of, bits: int = BITS) -> bytes:
+def twice_filter(df: DataFrame, hashes_of, bits: int = BITS) -> bytearray:
     """The merged filter of a frame with one column, 2**bits bits: bounded, so it may go through the driver.
 
     hashes_of(values) gives the 64-bit hashes of an Arrow array of the column, as often as they are to be counted.
@@ -115,54 +115,85 @@ def twice_filter(df: DataFrame, hashes_of, bits: int = BITS) -> bytes:
     parts = df.mapInArrow(scan, "s int, pos binary, more binary")
     found = parts.groupBy("s").applyInArrow(merge, "s int, twice binary").collect()  # SLICES rows at most, 2**bits bits in all
     size = (1 << bits) // 8 // SLICES
-    got = {r.s: bytes(r.twice) for r in found}
-    return b"".join(got.get(s, bytes(size)) for s in range(SLICES))
+    out = bytearray(size * SLICES)
+    while found:
+        r = found.pop()
+        out[r.s * size : (r.s + 1) * size] = r.twice
+    return out
 
 
 def seen_twice(bitmap: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return (bitmap[pos >> np.uint32(3)] >> (np.uint32(7) - (pos & np.uint32(7))).astype(np.uint8)) & np.uint8(1) > 0
 
 
+def digest(k: bytes) -> bytes:
+    return hashlib.sha256(k).digest()[:16]
+
+
+def text_hash(docs: DataFrame):
+    """The row's text as 64 bits: equal texts have equal lines, so rows meet their own keys by it, with or without an id."""
+    return F.xxhash64(F.coalesce(common.column(docs, "text", "string"), F.lit("")))
+
+
 def suspects(docs: DataFrame, least: int, bits: int) -> DataFrame:
-    """(key, doc_id, n) of the line keys that the twice-seen filter suspects: one row a document and key."""
+    """(digest, doc_id, text_hash) of the line keys that the twice-seen filter suspects: one row a document and key."""
     spark = docs.sparkSession
+    own = docs.select(column_text(docs), common.column(docs, "doc_id", "bigint").alias("doc_id"), text_hash(docs).alias("text_hash"))
     hashes = lambda texts: [xxhash.xxh3_64_intdigest(k) for t in texts for k in {*keys_of(t.as_py(), least)} - {b""}]
-    twice = spark.sparkContext.broadcast(twice_filter(docs.select("text"), hashes, bits))
+    twice = spark.sparkContext.broadcast(twice_filter(own.select("text"), hashes, bits))
 
     def scan(batches):
         bitmap = np.frombuffer(twice.value, np.uint8)
-        for b in batches:
-            ids, found = [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
+        for b in common.sliced(batches):
+            at, found = [], []
+            for i, t in enumerate(b.column(0)):
                 ks = list({*keys_of(t.as_py(), least)} - {b""})
                 if ks:
                     hit = seen_twice(bitmap, positions([xxhash.xxh3_64_intdigest(k) for k in ks], bits))
-                    own = [k for k, h in zip(ks, hit) if h]
-                    found += own
-                    ids += [d] * len(own)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(found, pa.binary()), "doc_id": pa.array(ids, pa.int64())})
+                    more = [digest(k) for k, h in zip(ks, hit) if h]
+                    found += more
+                    at += [i] * len(more)
+            at = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1).take(at), b.column(2).take(at)], names=["digest", "doc_id", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "key binary, doc_id bigint")
+    return own.mapInArrow(scan, "digest binary, doc_id bigint, text_hash bigint")
 
 
 def repeated_keys(docs: DataFrame, min_docs: int, least: int = 1, bits: int | None = None) -> DataFrame:
-    """digest, n_docs and first_doc of the keys in at least min_docs rows of docs, counted exactly by whole key."""
+    """digest, n_docs and first_doc of the keys in at least min_docs rows of docs, counted exactly."""
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more: a key in one document is no repeat")
     sus = suspects(docs, least, bits or bits_for(docs))
     # Partial counts run in each scan task before the shuffle, so a line that a third of the documents hold is no hot key.
-    n = sus.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
-    return n.select(F.unhex(F.substring(F.sha2("key", 256), 1, 32)).alias("digest"), "n_docs", "first_doc")
+    return sus.groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
 
 
-def digest(k: bytes) -> bytes:
-    return hashlib.sha256(k).digest()[:16]
+def table_of(digests: list[bytes]) -> bytes:
+    """Digests in order, 16 bytes each: what is broadcast, and searched by halves."""
+    return b"".join(sorted(digests))
+
+
+def among(digests: list[bytes], table: np.ndarray) -> np.ndarray:
+    """Which of the digests are in the table, as rows of two big-endian words."""
+    d = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
+    if not len(table) or not len(d):
+        return np.zeros(len(d), bool)
+    lo, hi = (np.searchsorted(table[:, 0], d[:, 0], side=s) for s in ("left", "right"))
+    found = np.zeros(len(d), bool)
+    # Digests that share their first half, by chance hardly ever, are tried one after the other.
+    while (open_ := (lo < hi) & ~found).any():
+        found[open_] = table[lo[open_], 1] == d[open_, 1]
+        lo = lo + 1
+    return found
 
 
 def _cut(text: str | None, bad, least: int):
     lines = (text or "").encode().split(b"\n")
-    keep = [x for x, k in zip(lines, keys_of(text, least)) if not k or digest(k) not in bad]
-    return len(lines), len(lines) - len(keep), b"\n".join(keep)
+    keys = keys_of(text, least)
+    some = [i for i, k in enumerate(keys) if k]
+    gone = {i for i, hit in zip(some, bad([digest(keys[i]) for i in some])) if hit}
+    keep = [x for i, x in enumerate(lines) if i not in gone] if gone else lines
+    return len(lines), len(gone), b"\n".join(keep)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, bits: int | None = None, bad_keys: int = BAD_KEYS) -> DataFrame:
@@ -170,7 +201,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, bits: int |
 
     Keys of at least ``least`` code points in min_docs or more rows of docs lose all their lines. Null or empty text is
     one empty line, which always stays; a text that loses all its lines becomes empty. Each row counts as a document
-    of its own, also where doc_ids repeat. An empty table gives an empty table. Columns named n_lines or n_dropped are
+    of its own, also where doc_ids repeat or are null. An empty table gives an empty table. Columns named n_lines or n_dropped are
     replaced.
     """
     spark = docs.sparkSession
@@ -180,20 +211,28 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, bits: int |
     n = bad.count()
     plain = F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest")
     schema = "n_lines bigint, n_dropped bigint, text string"
+    left = docs.select(plain, column_text(docs), text_hash(docs).alias("text_hash"))
     if n <= bad_keys:
-        table = spark.sparkContext.broadcast(frozenset(bytes(r.digest) for r in bad.collect()))  # n was checked
-        src, lookup = docs.select(plain, column_text(docs)), lambda b, i: table.value
+        table = spark.sparkContext.broadcast(table_of([bytes(r.digest) for r in bad.collect()]))  # n was checked
+        src = left.select("rest", "text")
     else:
-        # Too many for a broadcast: each document gets the bad keys among its own suspects.
-        sus = suspects(docs, least, bits).select("doc_id", F.unhex(F.substring(F.sha2("key", 256), 1, 32)).alias("digest"))
-        own = sus.join(bad, "digest", "left_semi").groupBy("doc_id").agg(F.collect_set("digest").alias("own"))
-        left = docs.select(F.col("doc_id").alias("of"), plain, column_text(docs))
-        src = left.join(own, F.col("of").eqNullSafe(F.col("doc_id")), "left").select("rest", "text", "own")
-        lookup = lambda b, i: set(b.column(2)[i].as_py() or ())
+        # Too many for a broadcast: each text gets the bad keys among its own suspects, partial sets first.
+        sus = suspects(docs, least, bits).select("text_hash", "digest")
+        own = sus.join(bad, "digest", "left_semi").groupBy(F.col("text_hash").alias("of")).agg(F.collect_set("digest").alias("own"))
+        table = None
+        src = left.join(own.hint("merge"), F.col("text_hash") == F.col("of"), "left").select("rest", "text", "own")
 
     def cut(batches):
-        for b in batches:
-            got = [_cut(t.as_py(), lookup(b, i), least) for i, t in enumerate(b.column(1))]
+        every = None if table is None else np.frombuffer(table.value, ">u8").reshape(-1, 2).astype(np.uint64)
+        for b in common.sliced(batches):
+            got = []
+            for i, t in enumerate(b.column(1)):
+                if every is None:
+                    own = set(b.column(2)[i].as_py() or ())
+                    bad = lambda ds, own=own: [d in own for d in ds]
+                else:
+                    bad = lambda ds: among(ds, every)
+                got.append(_cut(t.as_py(), bad, least))
             cols = [b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2].decode() for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["rest", "n_lines", "n_dropped", "text"])
 

@@ -31,17 +31,25 @@ def _small(e: DataFrame) -> DataFrame:
     return sent.unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for each node of links (a, b). Ids without links don't appear."""
+def components(links: DataFrame, steps: int | None = None) -> DataFrame:
+    """(node, component): the smallest node reachable, for each node of links (a, b). Ids without links don't appear.
+
+    steps: stop after so many. Nodes with one component are then connected, but not all that are connected have one.
+    """
     e = common.written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    state = None
-    while True:
+    state, done = None, 0
+    while done != steps:
         new = common.written(_small(_large(e)).where("a <> b").distinct(), "links")
         common.dropped(e)
-        e = new
+        e, done = new, done + 1
         # Done when every larger node hangs on one node and no such node hangs on another: the edges repeat.
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() if done != steps else state
         if now == state:
             break
         state = now
-    return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    # A node that hangs on several takes the least of them; one that hangs on none is its own.
+    up = e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+    top = e.select(F.col("a").alias("node")).distinct().join(e.select("b"), F.col("node") == F.col("b"), "left_anti")
+    out = common.written(up.unionByName(top.select("node", F.col("node").alias("component"))), "components")
+    common.dropped(e)
+    return out

@@ -14,7 +14,6 @@ two documents are in one component already; nothing is capped.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -24,27 +23,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graph, lines, pieces
+from . import common, graph, lines
 
 #: Words of an n-gram; hashed counters of the frequency table (one byte each when broadcast), and slices that are summed apart.
 WORDS = 5
 COUNTERS = 1 << 22
 SLICES = 32
-#: n-grams whose counts a task holds before it writes them out.
-FLUSH = 8_000_000
-#: Hash ranges of the suffix filter.
+#: Hash ranges of the suffix filter, and bits of the parity sketch that bounds it inside a join.
 RANGES = 64
-#: Word hashes that a worker remembers.
-MEMO = 300_000
+SKETCH = 512
+#: Star steps of the components between rounds: they needn't be whole there, since they only spare pairs within one.
+STEPS = 2
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-@functools.cache
-def _word_hashes():
-    return pieces.Memo(xxhash.xxh3_64_intdigest, MEMO)
-
-
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams; of the whole sequence where there are fewer words; none for none."""
     w = (text or "").encode().lower().split()
@@ -52,7 +45,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(w) < words:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(w), seed=len(w))], np.uint64)
-    h = np.fromiter(map(_word_hashes().__getitem__, w), np.uint64, len(w))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
     n = len(w) - words + 1
     with np.errstate(over="ignore"):
         s = h[:n].copy()
@@ -69,39 +62,43 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """SKETCH parities: whether an odd number of the set's hashes falls into each of as many hash ranges.
+
+    Each n-gram that only one of two sets has flips one bit, so the bits in which two sketches differ are no more than
+    the n-grams in which the sets do.
+    """
+    return np.packbits(np.bincount((s >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
 def scan(docs: DataFrame, words: int) -> DataFrame:
-    """One pass: a row (doc_id, n, digest, ranges) for each document, and slices of n-gram counts."""
-    width = COUNTERS // SLICES
+    """One pass: a row (doc_id, n, digest, ranges, sketch) for each document, and slices of n-gram counts.
 
-    def run(batches):
-        held, size = [], 0
+    A task adds its counts up in one array of COUNTERS numbers, however many documents it reads.
+    """
+    width = COUNTERS // SLICES
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
-        def counts():
-            rows = []
-            if size:
-                total = np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
-                rows = [(s, zlib.compress(total[s * width : (s + 1) * width].tobytes(), 1)) for s in range(SLICES)]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary()),
-                                               pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
+    def batch(k, *columns):
+        return pa.RecordBatch.from_arrays([pa.nulls(k, kind) if c is None else pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
 
-        for b in batches:
-            n, digests, ranges = [], [], []
+    def run(batches):
+        total = np.zeros(COUNTERS, np.uint32)
+        for b in common.sliced(batches):
+            n, digests, ranges, sketches = [], [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), words)
-                held.append((s & np.uint64(COUNTERS - 1)).astype(np.int32))
-                size += len(s)
+                np.add.at(total, s & np.uint64(COUNTERS - 1), np.uint32(1))
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 ranges.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype("<u4").tobytes())
-            k = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(ranges, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-            if size >= FLUSH:
-                yield counts()
-                held, size = [], 0
-        yield counts()
+                sketches.append(np.frombuffer(sketch(s), np.int64))
+            yield batch(len(n), b.column(0), n, digests, ranges, sketches, None, None)
+        used = [k for k in range(SLICES) if total[k * width : (k + 1) * width].any()]
+        yield batch(len(used), None, None, None, None, None, used, [zlib.compress(total[k * width : (k + 1) * width].tobytes(), 1) for k in used])
 
-    names = ["doc_id", "n", "digest", "ranges", "s", "counts"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, digest binary, ranges binary, s int, counts binary")
+    names = ["doc_id", "n", "digest", "ranges", "sketch", "s", "counts"]
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, digest binary, ranges binary, sketch array<bigint>, s int, counts binary")
 
 
 def rarity(scanned: DataFrame) -> np.ndarray:
@@ -127,7 +124,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, percent: int, words: int) -> Da
 
     def run(batches):
         level = table.value
-        for b in batches:
+        for b in common.sliced(batches):
             tokens, ids, sizes, places = [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1)):
                 s = shingles(t.as_py(), words)
@@ -161,6 +158,12 @@ def may_link(na, ia, nb, ib, percent: int):
     return length & (F.least(na - ia, nb - ib) >= overlap_needed(na, nb, percent))
 
 
+def may_share(sa, sb, na, nb, percent: int):
+    """The suffix filter on two parity sketches: whether the sets differ in few enough n-grams, as far as these tell."""
+    differ = sum((F.bit_count(sa[i].bitwiseXOR(sb[i])) for i in range(1, SKETCH // 64)), F.bit_count(sa[0].bitwiseXOR(sb[0])))
+    return differ <= na + nb - 2 * overlap_needed(na, nb, percent)
+
+
 def repeated_tokens(tok: DataFrame) -> DataFrame:
     """Rows of tok whose n-gram the two filters of ``lines`` suspect of occurring twice. The others meet nothing."""
     bits = lines.sized(tok.count())
@@ -193,7 +196,7 @@ def verified(pairs: DataFrame, docs: DataFrame, ranges: DataFrame, percent: int,
     ids = common.written(p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
 
     def sets(batches):
-        for b in batches:
+        for b in common.sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], names=["doc_id", "own"])
 
     own = common.joined_by_size(docs, ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id bigint, own binary")
@@ -230,7 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     """
     docs = common.take(docs)
     scanned = common.written(scan(docs, words), "shingles")
-    rows = scanned.where("s is null").select("doc_id", "n", "digest", "ranges")
+    rows = scanned.where("s is null").select("doc_id", "n", "digest", "ranges", "sketch")
     # Equal sets are one class; its first document stands for it.
     some = rows.where("n > 0 and doc_id is not null")
     same = some.groupBy("digest").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "a")
@@ -253,25 +256,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     # First each document with the one partner that it meets most often.
     best = met.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
     links = common.written(verified(best, docs, rows, percent, words), "links")
-    comp = common.written(graph.components(links), "components")
+    comp = graph.components(links, steps=STEPS)
     # Then with the other first documents, where that can still join two components.
     rest = placed(placed(met.join(best.hint("merge"), ["a", "b"], "left_anti"), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb")
     links = links.unionByName(verified(rest, docs, rows, percent, words))
-    comp = common.written(graph.components(links), "components")
+    comp = graph.components(links, steps=STEPS)
     # Last, n-grams whose documents are in several components still: those outside the largest meet all others.
     tokc = common.written(placed(shared.select("token", "doc_id", "n", "pos"), comp, "doc_id", "comp"), "token-components")
     common.dropped(shared)
     sizes = tokc.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.col("m.comp").alias("main"))
-    open_ = common.written(tokc.join(main.hint("merge"), "token"), "open")
+    open_ = tokc.join(main.hint("merge"), "token").join(rows.select(F.col("doc_id").alias("of"), "sketch"), F.col("doc_id") == F.col("of")).drop("of")
+    open_ = common.written(open_, "open")
     x = open_.where("comp <> main").alias("x")
     y = open_.alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id")))
     on = on & may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
+    on = on & may_share(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), percent)
     pairs = x.hint("merge").join(y, on).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     pairs = common.written(pairs.join(met.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "last-pairs")
     links = links.unionByName(verified(pairs, docs, rows, percent, words)).unionByName(copies)
-    comp = common.written(graph.components(links), "components")
+    comp = graph.components(links)
     common.dropped(met, tokc, open_, pairs)
     out = placed(rows.select("doc_id", "n"), comp, "doc_id", "component_id")
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")

@@ -11,7 +11,7 @@ Conventions of every operator in this subpackage
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import dropped, new_path, shared_dir, written  # noqa: F401
@@ -33,6 +33,21 @@ def column(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+#: Settings that bound what a task holds of a table of texts at once; a session that has its own keeps them.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "1024"),
+}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """For queries and stages: rows of whole texts are long, so Spark's default batches of them are replaced by smaller ones."""
+    for key, (default, value) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
+
+
 def sliced(batches, rows: int = SLICE_ROWS):
     """Arrow batches in parts of some rows, so that what is made of one is handed on before the next is read."""
     for b in batches:

@@ -12,6 +12,7 @@ MODEL = "piece_bpe_32k.model"
 
 
 def _docs(spark, sf_dir):
+    common.bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

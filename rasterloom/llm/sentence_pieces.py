@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import common, pieces
 
 #: Chunk encodings that a Python worker remembers, twice over (see pieces.Memo), and pair tests; those start anew when full.
-MEMO = 400_000
-PAIRS = 1_000_000
+MEMO = 60_000
+PAIRS = 300_000
 
 
 class Codec:
@@ -194,7 +194,7 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
     def run(batches):
         c = codec(path)
         begin, end = (np.array([x], "<u4").tobytes() for x in (c.bos, c.eos))
-        for b in batches:
+        for b in common.sliced(batches):
             n, ids, out = [], [], []
             for t in b.column(1):
                 i = begin + c.encode(t.as_py() or "") + end

@@ -18,7 +18,7 @@ from . import common, pieces
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
 #: Chunks whose counts a Python worker remembers, twice over (see pieces.Memo).
-MEMO = 400_000
+MEMO = 150_000
 
 
 def version(path: str) -> str:

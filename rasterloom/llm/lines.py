@@ -60,15 +60,19 @@ def positions(hashes, bits: int) -> np.ndarray:
     return (np.asarray(hashes, np.uint64) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def packed(pos: np.ndarray, bits: int):
-    """(slice, positions, counts of 2 or more as flags) for each slice that has any. pos: one entry a document and key."""
+def packed(pos: np.ndarray, bits: int, counted: bool = False):
+    """(slice, positions, counts of 2 or more as flags) for each slice that has any. pos: one entry a document and key.
+
+    counted: the counts themselves in place of flags, as 16 bits that stop at their greatest.
+    """
     pos, n = np.unique(pos, return_counts=True)
     width = bits - SLICES.bit_length() + 1
     at = np.searchsorted(pos >> np.uint32(width), np.arange(SLICES + 1))
     for s in range(SLICES):
         a, b = at[s], at[s + 1]
         if b > a:
-            yield s, (pos[a:b] & np.uint32((1 << width) - 1)).tobytes(), np.packbits(n[a:b] > 1).tobytes()
+            more = np.minimum(n[a:b], 0xFFFF).astype("<u2") if counted else np.packbits(n[a:b] > 1)
+            yield s, (pos[a:b] & np.uint32((1 << width) - 1)).tobytes(), more.tobytes()
 
 
 def merged(rows, bits: int) -> bytes:
@@ -82,17 +86,32 @@ def merged(rows, bits: int) -> bytes:
     return np.packbits(twice).tobytes()
 
 
-def twice_filter(df: DataFrame, hashes_of, bits: int = BITS) -> bytearray:
+#: Neighbouring positions that share a bit of the filter of hot ones.
+FOLD = 16
+
+
+def merged_counts(rows, bits: int, hot: int) -> bytes:
+    """The twice-seen bits of one slice, and after them those of positions seen more than ``hot`` times, FOLD positions a bit."""
+    width = bits - SLICES.bit_length() + 1
+    total = np.zeros(1 << width, np.uint32)
+    for pos, more in rows:
+        p, n = np.frombuffer(pos, np.uint32), np.frombuffer(more, "<u2")
+        total[p] += np.minimum(n, np.uint32(0xFFFFFFFF) - total[p])
+    return np.packbits(total > 1).tobytes() + np.packbits((total > hot).reshape(-1, FOLD).any(1)).tobytes()
+
+
+def twice_filter(df: DataFrame, hashes_of, bits: int = BITS, hot: int | None = None) -> bytearray | tuple[bytearray, bytearray]:
     """The merged filter of a frame with one column, 2**bits bits: bounded, so it may go through the driver.
 
     hashes_of(values) gives the 64-bit hashes of an Arrow array of the column, as often as they are to be counted.
+    hot: also the filter of positions seen more than that often, 2**bits / FOLD bits.
     """
 
     def scan(batches):
         held, n = [], 0
 
         def out():
-            rows = list(packed(np.concatenate(held), bits)) if held else []
+            rows = list(packed(np.concatenate(held), bits, hot is not None)) if held else []
             return pa.RecordBatch.from_pydict({"s": pa.array([r[0] for r in rows], pa.int32()), "pos": pa.array([r[1] for r in rows], pa.binary()), "more": pa.array([r[2] for r in rows], pa.binary())})
 
         for b in batches:
@@ -110,16 +129,19 @@ def twice_filter(df: DataFrame, hashes_of, bits: int = BITS) -> bytearray:
             for b in batches:
                 yield from zip(b.column("pos").to_pylist(), b.column("more").to_pylist())
 
-        yield pa.RecordBatch.from_pydict({"s": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([merged(rows(), bits)], pa.binary())})
+        got = merged(rows(), bits) if hot is None else merged_counts(rows(), bits, hot)
+        yield pa.RecordBatch.from_pydict({"s": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([got], pa.binary())})
 
     parts = df.mapInArrow(scan, "s int, pos binary, more binary")
     found = parts.groupBy("s").applyInArrow(merge, "s int, twice binary").collect()  # SLICES rows at most, 2**bits bits in all
     size = (1 << bits) // 8 // SLICES
-    out = bytearray(size * SLICES)
+    out, often = bytearray(size * SLICES), bytearray(size // FOLD * SLICES)
     while found:
         r = found.pop()
-        out[r.s * size : (r.s + 1) * size] = r.twice
-    return out
+        out[r.s * size : (r.s + 1) * size] = r.twice[:size]
+        if hot is not None:
+            often[r.s * size // FOLD : (r.s + 1) * size // FOLD] = r.twice[size:]
+    return out if hot is None else (out, often)
 
 
 def seen_twice(bitmap: np.ndarray, pos: np.ndarray) -> np.ndarray:

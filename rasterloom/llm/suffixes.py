@@ -1,18 +1,22 @@
 """Operator 7: removal of repeated byte strings by blockwise suffix sorting with a difference cover.
 
-A string of LENGTH bytes is a window. Each window picks an anchor in it, the K-byte string with the least hash (leftmost
+A string of ``length`` bytes is a window. Each window picks an anchor in it, the K-byte string with the least hash (leftmost
 on ties), so equal windows pick equal anchors; windows in a row with one anchor are a run. Anchors that occur once
 in the corpus, by the two filters of ``lines``, can't belong to a repeated window. The other runs, with the bytes they
 cover, are dealt out by anchor: all equal windows come to one task, which sorts its windows as suffixes.
 
-A task joins the texts of its runs up to BLOCK bytes, always with all runs of an anchor. In a block it ranks the suffixes at
-the places of a difference cover modulo V, then sorts one bucket of suffixes at a time: by the first V bytes, and
-where these tie by the ranks of the cover places that the two suffixes reach at a common distance below V. Neighbours in
-this order with LENGTH bytes in common are equal windows; all but the earliest are removed. Sorting space is a few
-times BLOCK, however long the texts or the ties are.
+A task joins the texts of its runs to blocks of BLOCK bytes, always with all runs of an anchor. In a block it ranks the suffixes
+at the places of a difference cover modulo V, by doubling, as deep as windows are long; then it sorts one bucket of suffixes
+at a time: by the first V bytes, and where these tie by the ranks of the cover places that the two suffixes reach at a
+common distance below V. Neighbours in this order with ``length`` bytes in common are equal windows; all but the earliest are
+removed. Sorting space is a few times a block, however long the texts, the windows or the ties are.
 
-Anchors are handled in PASSES classes, one after the other, as many as the corpus needs for the filters to stay sparse:
-disk and filters are bounded by a class.
+A block holds BLOCK bytes and one anchor's runs at most, and these are bounded too: an anchor that occurs more than HOT times
+(or 8 times the mean of a filter position, where that is more) deals out its windows one by one, each under its own hash, so a
+string of many documents with as many surroundings is spread over all tasks.
+
+The work is linear: each text is read three times and shuffled once where it has suspected anchors. Beyond some 2**27
+anchors the filters suspect more and more; in the end each run is shuffled, some 3.4 bytes a byte of text at length 100.
 
 Skew: equal documents are collapsed to their first before anything else, and each scan task collapses equal runs before
 the shuffle, so that a passage in very many documents reaches its sorting task about once a scan task.
@@ -43,9 +47,11 @@ BLOCK = 2 << 20
 BUCKETS = 8
 #: Texts that are cut into runs at once, and bytes of distinct runs that a scan task holds to find equal ones.
 ROWS = 256
-HELD = 32 << 20
-#: Bytes of corpus for which one pass' filter of 2**28 bits stays sparse.
-PASS_BYTES = 8 << 30
+HELD = 24 << 20
+#: Runs that a scan task hands on at once.
+PART = 20_000
+#: Occurrences above which an anchor is hot.
+HOT = 4096
 
 _M = 0x9E3779B97F4A7C15
 
@@ -129,21 +135,49 @@ def _runs(data: bytes, owner, base, sizes, length: int):
     return owner[p], first - starts[p] + base[p], stop - starts[p] + base[p], h[anchor[first]]
 
 
-def _order(text: np.ndarray, at: np.ndarray, bucket_of: int = BUCKETS):
-    """Windows' places in the order of their suffixes. text is followed by enough spare bytes."""
+def _dense(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Ranks from 1 on, along an order by these keys: equal keys, equal ranks."""
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return np.cumsum(new).astype(np.int32)
+
+
+def cover_ranks(text: np.ndarray, n: int, depth: int) -> np.ndarray:
+    """Of each cover place below n: its suffix' rank by ``depth`` bytes at least; 0 elsewhere. text: n bytes and spare ones.
+
+    Ranks by V bytes come first. A place V * h further is a cover place as well, so pairs of ranks by V * h bytes give
+    the ranks by twice as many.
+    """
     word = np.lib.stride_tricks.sliding_window_view
-    # Ranks of the cover places, by 104 bytes.
-    n = len(text) - 256
     residue = np.zeros(V, bool)
     residue[list(COVER)] = True
-    cover = np.flatnonzero(residue[np.arange(n + 2 * V) % V])
-    cover = cover[cover < n + V]
-    rank = np.zeros(n + 2 * V, np.int32)
-    keys = np.ascontiguousarray(word(text, 104)[cover]).view("S104").ravel()
-    o = np.argsort(keys, kind="stable")
-    keys = keys[o]
-    rank[cover[o]] = np.cumsum(np.append(True, keys[1:] != keys[:-1])).astype(np.int32)
-    del keys
+    cover = np.flatnonzero(residue[np.arange(n) % V])
+    # V bytes: three words of eight, and a last one of which V - 24 count.
+    keys = [np.ascontiguousarray(word(text, 8)[cover + 8 * j]).view(">u8").ravel().astype(np.uint64) for j in range(4)]
+    keys[3] >>= np.uint64(8 * (32 - V))
+    rank = np.zeros(n + 1, np.int32)
+    o = np.lexsort(keys[::-1])
+    rank[cover[o]] = _dense(o, *keys)
+    h = 1
+    while V * h < depth and len(cover) and rank[cover].max() < len(cover):
+        near, far = rank[cover], rank[np.minimum(cover + V * h, n)]
+        o = np.lexsort((far, near))
+        rank[cover[o]] = _dense(o, near, far)
+        h *= 2
+    return rank
+
+
+def spare(length: int) -> int:
+    """Bytes of zeros that follow a block, so that all places the sort looks at exist."""
+    return length + 4 * V
+
+
+def _order(text: np.ndarray, at: np.ndarray, length: int, bucket_of: int = BUCKETS):
+    """Windows' places in the order of their suffixes, by ``length`` bytes at least. text ends in spare(length) zeros."""
+    word = np.lib.stride_tricks.sliding_window_view
+    n = len(text) - 64
+    rank = cover_ranks(text, n, length)
     # Buckets of suffixes by their first eight bytes, each sorted on its own.
     eight = lambda p: np.ascontiguousarray(word(text, 8)[p]).view(">u8").ravel().astype(np.uint64)
     lead = eight(at)
@@ -196,7 +230,7 @@ def repeats(block: list[tuple], length: int):
     doc, tie-break, first, last."""
     size = np.array([len(r[3]) for r in block])
     base = np.cumsum(size) - size
-    text = np.frombuffer(b"".join(r[3] for r in block) + bytes(256), np.uint8)
+    text = np.frombuffer(b"".join(r[3] for r in block) + bytes(spare(length)), np.uint8)
     n = size - length + 1
     of = np.repeat(np.arange(len(block)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + base[of]
@@ -209,13 +243,12 @@ def repeats(block: list[tuple], length: int):
     run_of = np.zeros(len(text), np.int64)
     when[at] = dense[of] << 36 | (first[of] + at - base[of])
     run_of[at] = of
-    s = _order(text, at)
+    s = _order(text, at, length)
     same = np.ones(max(0, len(s) - 1), bool)
     word = np.lib.stride_tricks.sliding_window_view
     for j in [*range(0, length - 7, 8), length - 8]:
-        i = np.flatnonzero(same)
         w = np.ascontiguousarray(word(text, 8)[s + j]).view(np.uint64).ravel()
-        same[i] = w[i] == w[i + 1]
+        same &= w[1:] == w[:-1]
     start = np.flatnonzero(np.append(True, ~same))
     earliest = np.repeat(np.minimum.reduceat(when[s], start), np.diff(np.append(start, len(s)))) if len(s) else s
     gone = np.zeros(len(text), bool)
@@ -237,31 +270,41 @@ def _texts(column) -> list[bytes]:
 _SPAN = "doc bigint, tie bigint, first bigint, last bigint"
 
 
-def _pass(docs: DataFrame, length: int, k: int, passes: int, bits: int) -> DataFrame:
-    """Removed windows (doc, tie, first, last) of the anchors in class k. docs: doc, tie, text, without equal texts."""
+def _singles(who: tuple, body: bytes, length: int):
+    """The windows of a run one by one: who, key, body."""
+    doc, tie, first, _ = who
+    for k in range(len(body) - length + 1):
+        w = body[k : k + length]
+        yield (doc, tie, first + k, first + k), xxhash.xxh3_64_intdigest(w) - (1 << 63), w
+
+
+def removed_windows(docs: DataFrame, length: int, bits: int, hot: int) -> DataFrame:
+    """Ranges of removed windows (doc, tie, first, last). docs: doc, tie, text, without equal texts."""
     spark = docs.sparkSession
-    mine = lambda h: (h % np.uint64(passes)) == np.uint64(k) if passes > 1 else np.ones(len(h), bool)
 
     def anchors(texts):
         own = _texts(texts)
         found = [runs(own[a : a + ROWS], length)[3] for a in range(0, len(own), ROWS)]
-        h = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        return _spread(h[mine(h)])
+        return _spread(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
-    twice = spark.sparkContext.broadcast(lines.twice_filter(docs.select("text"), anchors, bits))
+    table = spark.sparkContext.broadcast(lines.twice_filter(docs.select("text"), anchors, bits, hot))
 
     def emit(batches):
         """Runs of suspected anchors. Of those with equal bytes that a task holds at once only the first keeps its bytes; the
         others have an earlier equal run, so their windows all go, and they travel as bare ranges under a key of their own."""
-        bitmap = np.frombuffer(twice.value, np.uint8)
+        twice, often = (np.frombuffer(x, np.uint8) for x in table.value)
         held: dict[tuple, tuple] = {}
         bare: list[tuple] = []
         size = 0
 
         def out():
-            rows = [(*who, key[0], body) for key, (who, body) in held.items()] + [(*who, who[0] ^ who[2], None) for who in bare]
+            rows = [(*who, who[0] ^ who[2], None) for who in bare]
+            for (a, _, many), (who, body) in held.items():
+                rows += [(*w, key, x) for w, key, x in _singles(who, body, length)] if many else [(*who, a, body)]
             kinds = [pa.int64()] * 5 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=["doc", "tie", "first", "last", "anchor", "body"])
+            for lo in range(0, len(rows), PART):
+                part = rows[lo : lo + PART]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kinds[k]) for k in range(6)], names=["doc", "tie", "first", "last", "anchor", "body"])
 
         for b in batches:
             doc, tie = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -269,23 +312,24 @@ def _pass(docs: DataFrame, length: int, k: int, passes: int, bits: int) -> DataF
             for lo in range(0, len(texts), ROWS):
                 own = texts[lo : lo + ROWS]
                 i, first, last, h = runs(own, length)
-                hit = mine(h)
-                hit &= lines.seen_twice(bitmap, lines.positions(_spread(h), bits))
-                for x, f, z, a in zip(i[hit].tolist(), first[hit].tolist(), last[hit].tolist(), h[hit].view(np.int64).tolist()):
+                pos = lines.positions(_spread(h), bits)
+                hit = lines.seen_twice(twice, pos)
+                many = lines.seen_twice(often, pos[hit] // np.uint32(lines.FOLD))
+                for x, f, z, a, m in zip(i[hit].tolist(), first[hit].tolist(), last[hit].tolist(), h[hit].view(np.int64).tolist(), many.tolist()):
                     body = own[x][f : z + length]
                     who = (doc[lo + x], tie[lo + x], f, z)
-                    key = (a, xxhash.xxh3_128_digest(body))
+                    key = (a, xxhash.xxh3_128_digest(body), m)
                     got = held.get(key)
                     if got is None:
                         held[key] = (who, body)
-                        size += len(body)
+                        size += len(body) * (length if m else 1)
                     elif got[0] != who:  # a row that repeats a document is no earlier one
                         bare.append(max(got[0], who))
                         held[key] = (min(got[0], who), body)
                 if size >= HELD or len(bare) >= HELD // 100:
-                    yield out()
+                    yield from out()
                     held, bare, size = {}, [], 0
-        yield out()
+        yield from out()
 
     def sort(batches):
         held, size, last = [], 0, None
@@ -331,7 +375,7 @@ def _cut(text: bytes, spans, length: int, copy: bool) -> tuple[int, int, int, by
     return len(text), int(gone.sum()), starts, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, passes: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int | None = None, id_rows: int = common.BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary: the bytes that stay, maybe no UTF-8) for each row of docs.
 
     A byte goes if a string of ``length`` bytes covers it that also starts earlier: in a row with a smaller doc_id, or
@@ -351,20 +395,28 @@ def remove_repeats(docs: DataFrame, length: int = 100, passes: int | None = None
     copies = common.written(ids.join(firsts.hint("merge"), "digest").where("doc <> f").select("doc", "tie").distinct(), "text-copies")
     n_copies = copies.count()
     total = ids.agg(F.sum("size")).first()[0] or 0
-    passes = passes or max(1, -(-total // PASS_BYTES))
     own = common.joined_by_size(keyed.where(F.octet_length("text") >= length), copies, ["doc", "tie"], "left_anti", n_copies).select("doc", "tie", "text")
-    bits = lines.sized(total / passes / 40)  # an anchor for some 40 bytes
-    removed = [_pass(own, length, k, passes, bits) for k in range(passes)]
-    spans = removed[0]
-    for r in removed[1:]:
-        spans = spans.unionByName(r)
-    spans = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    n_anchors = total / 40  # an anchor for some 40 bytes
+    bits = lines.sized(n_anchors)
+    removed = removed_windows(own, length, bits, hot or max(HOT, int(8 * n_anchors / 2**bits)))
+    spans = removed.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     marked = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc", "tie", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("spans"), F.lit(True).alias("copy")))
-    marked = marked.select(F.col("doc").alias("d"), F.col("tie").alias("t"), "spans", "copy")
-    joined = keyed.join(marked.hint("merge"), (F.col("doc") == F.col("d")) & (F.col("tie") == F.col("t")), "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
+    marked = common.written(marked, "marked")
+    n_marked = marked.count()
+    # Only texts that lose something meet their spans; the others stay where they are, as long as their ids are few enough to tell.
+    ids = marked.select("doc", "tie").distinct()
+    m = marked.select(F.col("doc").alias("d"), F.col("tie").alias("t"), "spans", "copy")
+    on = (F.col("doc") == F.col("d")) & (F.col("tie") == F.col("t"))
+    names = ["doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy")]
+    if n_marked <= id_rows:
+        some = keyed.join(F.broadcast(ids), ["doc", "tie"], "left_semi").join(m.hint("merge"), on).select(*names)
+        rest = keyed.join(F.broadcast(ids), ["doc", "tie"], "left_anti").withColumn("spans", F.lit(None).cast(m.schema["spans"].dataType)).withColumn("copy", F.lit(False))
+        joined = some.unionByName(rest.select(*names))
+    else:
+        joined = keyed.join(m.hint("merge"), on, "left").select(*names)
 
     def cut(batches):
-        for b in batches:
+        for b in common.sliced(batches):
             got = [_cut(t.as_py().encode(), s.as_py(), length, c) for t, s, c in zip(b.column(1), b.column(2), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.int64()) for k in range(3)), pa.array([g[3] for g in got], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 

@@ -359,18 +359,54 @@ def test_components_of_a_path_and_a_star(spark):
 
 # 7
 
-@pytest.mark.parametrize("passes", [1, 3])
-def test_suffix_dedup(spark, docs, empty, passes):
+@pytest.mark.parametrize(("length", "hot", "id_rows"), [(100, None, 10**6), (100, 1, 0), (160, None, 0), (40, 2, 10**6), (400, None, 10**6)])
+def test_suffix_dedup(spark, docs, empty, length, hot, id_rows):
     src = sorted(((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in docs.collect()))
     one = sorted(set(src))
-    want = dict(zip([i for i, _ in one], zip([t.encode() for _, t in one], suffixes.brute_force([t.encode() for _, t in one], 100))))
-    out = suffixes.remove_repeats(docs, 100, passes).collect()
+    want = dict(zip([i for i, _ in one], zip([t.encode() for _, t in one], suffixes.brute_force([t.encode() for _, t in one], length))))
+    out = suffixes.remove_repeats(docs, length, hot, id_rows).collect()
     assert len(out) == len(src)
     for r in out:
         text, kept = want[-1 if r.doc_id is None else r.doc_id]
         assert (r.n_bytes, r.n_removed, bytes(r.kept)) == (len(text), len(text) - len(kept), kept)
     assert any(r.n_removed for r in out)
-    assert suffixes.remove_repeats(empty).count() == 0
+    assert suffixes.remove_repeats(empty, length, hot).count() == 0
+
+
+@pytest.mark.parametrize("length", [100, 160, 200, 400, 1000])
+def test_windows_that_part_late_are_told_apart(length):
+    """Equal for the first 140 bytes and more, different only near the end: every class keeps its first, at any length."""
+    rng = np.random.default_rng(4)
+    head = rng.integers(97, 123, length - 10).astype(np.uint8).tobytes()
+    block = [(i, 0, 0, head + bytes([65 + i % 3]) * 10) for i in range(30)]
+    doc, tie, first, last = suffixes.repeats(block, length)
+    assert sorted(doc.tolist()) == list(range(3, 30)) and not first.any() and not last.any()
+    # Cover ranks are the ranks of suffixes by that many bytes.
+    t = b"".join(r[3] for r in block)
+    text = np.frombuffer(t + bytes(suffixes.spare(length)), np.uint8)
+    rank = suffixes.cover_ranks(text, len(text) - 64, length)
+    places = [p for p in range(0, len(t), 7) if p % suffixes.V in suffixes.COVER]
+    keys = {p: text[p : p + length].tobytes() for p in places}
+    some = sorted(places, key=lambda p: rank[p])
+    assert all(keys[p] <= keys[q] for p, q in zip(some, some[1:]))
+
+
+def test_a_hot_anchor_is_spread(spark):
+    """One string in very many surroundings: no task gets all of them in one block."""
+    rng = np.random.default_rng(7)
+    middle = "m" * 10 + "".join(chr(97 + c) for c in rng.integers(0, 26, 60))
+    pad = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 60))
+    rows = [(i, pad() + middle + pad()) for i in range(400)] + [(1000, "x" * 5 + pad()), (1001, None)]
+    rows.append((500, rows[3][1][20:] + "tail"))
+    want = suffixes.brute_force([(t or "").encode() for _, t in sorted(rows)], 100)
+    # What one anchor below the bound brings to a block is less than a block.
+    assert suffixes.HOT * (2 * 100 - suffixes.K) <= suffixes.BLOCK
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    for hot in (None, 50):
+        out = {r.doc_id: bytes(r.kept) for r in suffixes.remove_repeats(d, 100, hot).collect()}
+        assert [out[i] for i, _ in sorted(rows)] == want
+    found = suffixes._singles((1, 0, 5, 7), b"q" * 102, 100)
+    assert [w[:4] for w, _, _ in found] == [(1, 0, 5, 5), (1, 0, 6, 6), (1, 0, 7, 7)]
 
 
 def test_cover_reaches_every_difference():
@@ -382,9 +418,9 @@ def test_cover_reaches_every_difference():
 
 def test_suffix_order_is_by_content():
     rng = np.random.default_rng(2)
-    t = np.concatenate([np.tile(rng.integers(97, 100, 41), 30), rng.integers(97, 99, 900), np.zeros(256, int)]).astype(np.uint8)
+    t = np.concatenate([np.tile(rng.integers(97, 100, 41), 30), rng.integers(97, 99, 900), np.zeros(suffixes.spare(100), int)]).astype(np.uint8)
     at = np.arange(0, 2000, 3)
-    got = suffixes._order(t, at)
+    got = suffixes._order(t, at, 100)
     keys = [t[i : i + 100].tobytes() for i in got]
     assert sorted(got.tolist()) == at.tolist() and keys == sorted(keys)
 

@@ -46,9 +46,9 @@ def keys_of(text: str | None, least: int) -> list[bytes]:
     return out
 
 
-def sized(keys: float) -> int:
-    """Bits of a filter for that many keys: four bits a key, 2**16 to 2**BITS."""
-    return max(16, min(BITS, math.ceil(math.log2(max(1, 4 * keys)))))
+def sized(keys: float, most: int = BITS, each: int = 4) -> int:
+    """Bits of a filter for that many keys, as a power of two: four bits a key, 2**16 to 2**most."""
+    return max(16, min(most, math.ceil(math.log2(max(1, each * keys)))))
 
 
 def bits_for(docs: DataFrame) -> int:

@@ -15,11 +15,11 @@ A block holds BLOCK bytes and one anchor's runs at most, and these are bounded t
 (or 8 times the mean of a filter position, where that is more) deals out its windows one by one, each under its own hash, so a
 string of many documents with as many surroundings is spread over all tasks.
 
-The work is linear: each text is read three times and shuffled once where it has suspected anchors. Beyond some 2**27
+The work is linear: each text is read three times and shuffled once where it has suspected anchors. Beyond some 2**28
 anchors the filters suspect more and more; in the end each run is shuffled, some 3.4 bytes a byte of text at length 100.
 
 Skew: equal documents are collapsed to their first before anything else, and each scan task collapses equal runs before
-the shuffle, so that a passage in very many documents reaches its sorting task about once a scan task.
+the shuffle, so that a passage in very many documents reaches its sorting task about once a scan task, where it is collapsed again.
 """
 
 from __future__ import annotations
@@ -50,7 +50,8 @@ ROWS = 256
 HELD = 24 << 20
 #: Runs that a scan task hands on at once.
 PART = 20_000
-#: Occurrences above which an anchor is hot.
+#: Bits of the filters, at most (32 MB; a false positive costs a run of bytes here). Occurrences above which an anchor is hot.
+BITS = 28
 HOT = 4096
 
 _M = 0x9E3779B97F4A7C15
@@ -332,24 +333,45 @@ def removed_windows(docs: DataFrame, length: int, bits: int, hot: int) -> DataFr
         yield from out()
 
     def sort(batches):
-        held, size, last = [], 0, None
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in repeats(held, length)], names=["doc", "tie", "first", "last"])
+        """Within an anchor, equal runs of other tasks are collapsed like those of one. A run holds no window twice, since its
+        windows have the anchor at different places, so an anchor with one run left has nothing to sort."""
+        held: list[tuple] = []
+        group: dict[bytes, tuple] = {}
+        gone: list[tuple] = []
+        size, last = 0, None
+
+        def ranges(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["doc", "tie", "first", "last"])
+
+        def close():
+            nonlocal size
+            if len(group) > 1:
+                held.extend((*who[:3], body) for body, who in group.items())
+                size += sum(map(len, group))
+            group.clear()
 
         for b in batches:
             alone = pa.compute.is_null(b.column(5))
             yield b.filter(alone).select([0, 1, 2, 3])
             b = b.filter(pa.compute.invert(alone))
-            for d, t, f, a, body in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4, 5))):
-                if a != last and size >= BLOCK:
-                    yield out()
-                    held, size = [], 0
-                held.append((d, t, f, body))
-                size += len(body)
-                last = a
+            for *who, a, body in zip(*(b.column(k).to_pylist() for k in range(6))):
+                who = tuple(who)
+                if a != last:
+                    close()
+                    if size >= BLOCK:
+                        yield ranges(repeats(held, length))
+                        held, size = [], 0
+                    last = a
+                got = group.get(body)
+                if got is not None and got != who:
+                    gone.append(max(got, who))
+                group[body] = who if got is None else min(got, who)
+            if gone:
+                yield ranges(zip(*gone))
+                gone = []
+        close()
         if held:
-            yield out()
+            yield ranges(repeats(held, length))
 
     found = docs.select("doc", "tie", "text").mapInArrow(emit, _SPAN + ", anchor bigint, body binary")
     dealt = found.repartition("anchor").sortWithinPartitions("anchor")
@@ -397,7 +419,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int | None = None, i
     total = ids.agg(F.sum("size")).first()[0] or 0
     own = common.joined_by_size(keyed.where(F.octet_length("text") >= length), copies, ["doc", "tie"], "left_anti", n_copies).select("doc", "tie", "text")
     n_anchors = total / 40  # an anchor for some 40 bytes
-    bits = lines.sized(n_anchors)
+    bits = lines.sized(n_anchors, BITS, 8)
     removed = removed_windows(own, length, bits, hot or max(HOT, int(8 * n_anchors / 2**bits)))
     spans = removed.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     marked = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc", "tie", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("spans"), F.lit(True).alias("copy")))

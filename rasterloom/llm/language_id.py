@@ -22,10 +22,11 @@ ORDERS = (1, 2, 3)
 ALPHA = 0.5
 #: Labelled documents that training reads, expected: the bound of the training sample. They are drawn by a hash of the id.
 TRAIN_DOCS = 20_000
-#: Languages, at most: the most frequent ones of the sample are learned.
-LANGUAGES = 512
-#: Posterior probabilities are those of this many n-grams of evidence at most, so that long texts don't all score 1.
+#: A prediction's score, not the prediction, is tempered: it is the posterior of this many n-grams of evidence at most, so that
+#: long texts don't all score 1.
 EVIDENCE = 200.0
+#: Matrix cells that are broadcast at most (4 bytes each): with more languages there are fewer buckets, never fewer languages.
+CELLS = 1 << 26
 #: Characters that are turned into n-grams at once; longer texts go piece by piece, whole.
 CHUNK = 1 << 20
 
@@ -112,10 +113,14 @@ def train(labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.nd
         row = total.setdefault(r.lang, np.zeros(BUCKETS, np.int64))
         row[np.frombuffer(r.ids, np.int32)] += np.frombuffer(r.counts, np.int64)
         docs[r.lang] = docs.get(r.lang, 0) + r.docs
-    langs = sorted(sorted(total, key=lambda k: (-docs[k], k))[:LANGUAGES])
+    langs = sorted(total)
     if not langs:
         return [], np.zeros((0, 1 + BUCKETS), np.float32)
-    c = np.stack([total[k] for k in langs]) + ALPHA
+    # Neighbouring buckets are added up while the matrix would be too large: the first bits of a hash are a hash.
+    width = BUCKETS
+    while width * len(langs) > CELLS and width > 1:
+        width //= 2
+    c = np.stack([total[k].reshape(width, -1).sum(1) for k in langs]) + ALPHA
     logp = np.log(c) - np.log(c.sum(1, keepdims=True))
     prior = np.log(np.array([docs[k] for k in langs], float)) - np.log(sum(docs[k] for k in langs))
     return langs, np.concatenate([prior[:, None], logp], 1).astype(np.float32)
@@ -127,14 +132,15 @@ def score(texts, langs: list[str], logp: np.ndarray) -> tuple[list[str], list[fl
     if not langs:
         return best, value
     by_bucket = np.ascontiguousarray(logp[:, 1:].T)
+    each = BUCKETS // len(by_bucket)
     for i, t in enumerate(texts):
         if not t or not _LETTER.search(t):
             continue
         ids, c = counts(t)
-        s = c.astype(np.float64) @ by_bucket[ids]
-        s = s * min(1.0, EVIDENCE / c.sum()) + logp[:, 0]
-        k = int(s.argmax())
-        best[i], value[i] = langs[k], float(1.0 / np.exp(s - s[k]).sum())
+        likely = c.astype(np.float64) @ by_bucket[ids // each]
+        k = int((likely + logp[:, 0]).argmax())
+        s = likely * min(1.0, EVIDENCE / c.sum()) + logp[:, 0]
+        best[i], value[i] = langs[k], float(np.exp(s[k] - s.max()) / np.exp(s - s.max()).sum())
     return best, value
 
 
@@ -147,7 +153,7 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast((langs, logp))
 
     def run(batches):
-        for b in batches:
+        for b in common.sliced(batches):
             best, value = score([x.as_py() for x in b.column(1)], *model.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string()), pa.array(value, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

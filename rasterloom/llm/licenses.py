@@ -1,13 +1,18 @@
 """Operator 3: license scans by canonical digest lookup.
 
-A text's canonical form has one case, one white space, no punctuation, no copyright lines and one spelling of words that
+A text's canonical form has one case, one white space, no punctuation, no copyright notices and one spelling of words that
 licenses spell in several ways. Its SHA-256 is hash-joined to the digests of known licenses, made by the same expression.
+Known are the whole texts in ``known_licenses`` and KNOWN, in the forms they are met in: under their titles, with and without list
+numbers, with and without what follows their terms. Callers add their own. The table is small: a few digests a license.
 All of it is DataFrame code: no text leaves the JVM, and only digests meet.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,14 +83,50 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 }
 
 
+#: Titles that such texts stand under.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License"),
+    "MIT-0": ("MIT No Attribution", "MIT-0 License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "PostgreSQL": ("PostgreSQL License", "The PostgreSQL License"),
+    "WTFPL": ("WTFPL",),
+}
+#: Fixed value: the line that ends the terms of licenses that advice on their use follows.
+END = "END OF TERMS AND CONDITIONS"
+
+
+@functools.cache
+def forms() -> tuple[tuple[str, str], ...]:
+    """(license_id, text) of every form of the known licenses."""
+    found = dict(KNOWN) | {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "known_licenses").glob("*.txt"))}
+    out = []
+    for name, text in found.items():
+        ways = [text, re.sub(r"(?m)^ *\d+\. ", "", text)] if name.startswith("BSD") else [text]
+        if END in text:
+            ways += [text[: text.index(END) + len(END)], text[: text.index(END)]]
+        ways += [f"{title}\n\n{x}" for title in TITLES.get(name, ()) for x in ways]
+        out += [(name, x) for x in dict.fromkeys(ways)]
+    return tuple(out)
+
+
+#: A notice: a line that starts with a copyright mark and a year, a bracket or another mark, or that reserves all rights and
+#: says no more. Lines of running text that happen to start with "copyright holders" or "copyright law" are none.
+NOTICE = r"^[^\p{L}\n]*(?:copyright[ \t:,]*[(<\[{©0-9][^\n]*|©[^\n]*|\(c\)[ \t]*[<\[{0-9][^\n]*|all rights reserved[^\p{L}\n]*)$"
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; empty for null.
 
-    Lines that start with a copyright mark go; A-Z are lowered; every run of characters other than letters, digits and
+    Copyright notices go (NOTICE); A-Z are lowered; every run of characters other than letters, digits and
     those above ASCII becomes one space; equivalent spellings become one, whole words only.
     """
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"(?md)^[^\p{L}\n]*(copyright|©|\(c\))[^\n]*$", " ")
+    t = F.regexp_replace(t, "(?md)" + NOTICE, " ")
     t = F.concat(F.lit(" "), F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  "), F.lit(" "))
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
@@ -106,7 +147,7 @@ def first_words(words: Iterable[str]) -> list[str]:
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """license_id, digest and first canonical word of each known license; the least id where two have one canonical form."""
-    rows = list((KNOWN if texts is None else texts).items())
+    rows = list(forms() if texts is None else texts.items())
     df = spark.createDataFrame(rows or [("", "")], "license_id string, text string")
     df = df.where(F.lit(bool(rows))).select("license_id", canonical(F.col("text")).alias("form"))
     df = df.select("license_id", F.sha2("form", 256).alias("digest"), F.substring_index("form", " ", 1).alias("first_word"))

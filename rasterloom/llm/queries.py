@@ -97,7 +97,7 @@ from d join e on d.source is not distinct from e.source left join t on d.source
 
 
 def _canonical_sql(text: str) -> str:
-    t = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[^\p{{L}}\n]*(copyright|©|\(c\))[^\n]*$', ' ', 'g')"
+    t = f"regexp_replace(lower(coalesce({text}, '')), '(?m){licenses.NOTICE}', ' ', 'g')"
     t = rf"' ' || regexp_replace({t}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g') || ' '"
     for old, new in licenses.SPELLINGS:
         t = f"replace({t}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
@@ -105,11 +105,11 @@ def _canonical_sql(text: str) -> str:
 
 
 def _op3_sql() -> str:
-    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.forms())
     return f"""
 with k as (select {_canonical_sql("text")} as digest, min(id) as license_id from (values {rows}) v(id, text) group by 1),
 d as (select doc_id, text, {_canonical_sql("text")} as digest from documents),
-l as (select doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(lower(x), 'licen[sc]e|permission'))) as line from documents),
+l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents),
 n as (select doc_id, count(*) as n from l where {_canonical_sql("line")} in (select digest from k) group by doc_id)
 select d.doc_id, d.digest as canonical_sha256, k.license_id, coalesce(n.n, 0)::bigint as n_license_lines
 from d left join k on k.digest = d.digest left join n on n.doc_id = d.doc_id

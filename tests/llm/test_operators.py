@@ -40,6 +40,53 @@ def test_language_id(spark, docs, empty):
     assert language_id.language_id(docs).count() == docs.count()
 
 
+def plain_bayes(train, texts):
+    """Predictions of a multinomial naive Bayes with a dictionary of the hashed n-grams, in plain loops."""
+    import math
+
+    counts, docs = {}, Counter()
+    for t, lang in train:
+        if t and any(c.isalpha() for c in t):
+            counts.setdefault(lang, Counter()).update(language_id.buckets(language_id.points(t)).tolist())
+            docs[lang] += 1
+    total = {k: sum(c.values()) + language_id.ALPHA * language_id.BUCKETS for k, c in counts.items()}
+    out = []
+    for t in texts:
+        if not t or not any(c.isalpha() for c in t):
+            out.append("und")
+            continue
+        grams = Counter(language_id.buckets(language_id.points(t)).tolist())
+        s = {k: math.log(docs[k] / sum(docs.values())) + sum(n * math.log((counts[k][g] + language_id.ALPHA) / total[k]) for g, n in grams.items()) for k in counts}
+        out.append(max(sorted(s), key=s.get))
+    return out
+
+
+def test_language_id_against_plain_bayes(spark):
+    import random
+
+    rng = random.Random(3)
+    letters = {"aa": "abcdefgh", "bb": "cdefghij", "cc": "efghijkl", "dd": "ghijklmn"}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randrange(2, 6))) for _ in range(n))
+
+    rows = [(i, text(k := rng.choice("aaabbcd") * 2, rng.choice((1, 2, 3, 8, 400))), k) for i in range(240)]
+    rows += [(500, "", "aa"), (501, None, "bb"), (502, "12 34", "cc"), (503, text("aa", 3000) + text("dd", 2900), None)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    want = plain_bayes([(t, lang) for i, t, lang in rows if lang and not held(i)], [t for _, t, _ in rows])
+    out = {r.doc_id: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert [out[i].lang_pred for i, _, _ in rows] == want
+    assert all(0 <= r.score <= 1 for r in out.values()) and sum(w != (r[2] or w) for w, r in zip(want, rows)) > 0
+
+
+def test_many_languages_are_all_learned(monkeypatch, spark):
+    monkeypatch.setattr(language_id, "CELLS", 1 << 16)  # 600 languages leave fewer buckets
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} " * 5, f"l{i:03d}") for i in range(600)]
+    langs, logp = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(langs) == 600 and logp.shape[1] - 1 == 64
+    assert logp.size <= (1 << 16) + 600
+
+
 def test_long_texts_count_as_whole(monkeypatch):
     t = "ab cd efg " * 50
     ids, n = language_id.counts(t)
@@ -99,6 +146,38 @@ def test_license_forms(spark, docs, empty):
     assert {r.doc_id: r.n_license_lines for r in licenses.scan(notice, licenses.known(spark), True).collect()} == {1: 1, 2: 0}
 
 
+def plain_license_form(t):
+    notice = re.compile(r"[\W\d_]*(copyright[ \t:,]*[(<\[{©0-9].*|©.*|\(c\)[ \t]*[<\[{0-9].*|all rights reserved[\W\d_]*)")
+    t = "\n".join(x for x in (t or "").lower().split("\n") if not notice.fullmatch(x))
+    t = " " + "  ".join(x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t) if x) + " "
+    for old, new in licenses.SPELLINGS:
+        t = t.replace(f" {old.replace(' ', '  ')} ", f" {new.replace(' ', '  ')} ")
+    return " ".join(t.split())
+
+
+def test_whole_licenses_are_found_as_they_are_met(spark):
+    """Titled, under a notice, re-wrapped, in capitals, spelt otherwise: against a plain version of the form."""
+    import textwrap
+
+    forms = {}
+    for name, text in licenses.forms():
+        forms.setdefault(plain_license_form(text), set()).add(name)
+    rows, want = [], {}
+    for name, text in dict(licenses.forms()).items():
+        for k, t in enumerate((text, "Copyright (c) 2020, A. Author\nAll rights reserved.\n\n" + text, textwrap.fill(text, 41), text.upper(), "/* " + text.replace("\n", "\n * ") + " */", text + " Or so.")):
+            rows.append((len(rows), t))
+            want[len(rows) - 1] = min(forms.get(plain_license_form(t), {None}), key=str)
+            # Some texts have notices of their own within, which a re-wrapped line no longer starts with.
+            assert k in (2, 5) or want[len(rows) - 1] == name, (name, k)
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), licenses.known(spark), True).collect()}
+    assert {i: r.license_id for i, r in out.items()} == want
+    assert all(out[i].canonical_sha256 == sha(plain_license_form(t)) for i, t in rows)
+    found = {w for w in want.values() if w}
+    assert len(found) >= 25 and {"MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "ISC", "Zlib"} <= found
+    wrapped = [w for i, w in want.items() if i % 6 == 2]
+    assert sum(w is not None for w in wrapped) >= 20
+
+
 def test_license_lines_need_no_particular_word(spark):
     own = licenses.known(spark, {"unlicensed-words": "Do what you like with this."})
     docs = spark.createDataFrame([(1, "a\nDo what you like with this!\nb\n do what you like with this"), (2, "a\nb"), (3, None)], "doc_id bigint, text string")

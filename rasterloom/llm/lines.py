@@ -4,8 +4,8 @@ Each scan task adds the hashes of its line keys to a once-seen and a twice-seen
 merged slice by slice. Only lines that the twice-seen filter suspects are shuffled, to confirm by exact counts of
 their keys' digests (128 bits of SHA-256) and to choose the first occurrence; all others, most lines of a corpus, never leave their task.
 
-The filters have one hash function over 2**BITS bits, cut into slices that different tasks merge. A false positive
-costs one shuffled row and never changes a result. Beyond some 2**BITS lines everything is suspected: the operator then
+The filters have one hash function over BITS bits at most, cut into slices that different tasks merge. A false positive
+costs one shuffled row and never changes a result. Beyond some BITS lines everything is suspected: the operator then
 shuffles a digest and an id a line, 24 bytes whatever its length, and stays exact.
 """
 
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of the twice-seen filter that is broadcast, at most (16 MB at 27; fewer for small inputs), and slices that are merged apart.
-BITS = 27
+#: Bits of the twice-seen filter that is broadcast, at most (16 MB; fewer for small inputs), and slices that are merged apart.
+BITS = 1 << 27
 SLICES = 64
+#: Neighbouring positions that share a bit of the filter of hot ones.
+FOLD = 16
 #: Positions that a scan task holds before it writes them out, and rows that it hashes at once.
 FLUSH = 1_000_000
 ROWS = 1_000
@@ -46,9 +48,10 @@ def keys_of(text: str | None, least: int) -> list[bytes]:
     return out
 
 
-def sized(keys: float, most: int = BITS, each: int = 4) -> int:
-    """Bits of a filter for that many keys, as a power of two: four bits a key, 2**16 to 2**most."""
-    return max(16, min(most, math.ceil(math.log2(max(1, each * keys)))))
+def sized(keys: float, most: int = BITS, each: int = 5) -> int:
+    """Bits of a filter for that many keys, so many for each, up to ``most``; a multiple of what slices and folds need."""
+    unit = 8 * SLICES * FOLD
+    return min(most, unit * max(1, math.ceil(each * keys / unit)))
 
 
 def bits_for(docs: DataFrame) -> int:
@@ -57,7 +60,7 @@ def bits_for(docs: DataFrame) -> int:
 
 
 def positions(hashes, bits: int) -> np.ndarray:
-    return (np.asarray(hashes, np.uint64) >> np.uint64(64 - bits)).astype(np.uint32)
+    return (((np.asarray(hashes, np.uint64) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
 
 
 def packed(pos: np.ndarray, bits: int, counted: bool = False):
@@ -66,19 +69,18 @@ def packed(pos: np.ndarray, bits: int, counted: bool = False):
     counted: the counts themselves in place of flags, as 16 bits that stop at their greatest.
     """
     pos, n = np.unique(pos, return_counts=True)
-    width = bits - SLICES.bit_length() + 1
-    at = np.searchsorted(pos >> np.uint32(width), np.arange(SLICES + 1))
+    width = bits // SLICES
+    at = np.searchsorted(pos, np.arange(SLICES + 1, dtype=np.int64) * width)
     for s in range(SLICES):
         a, b = at[s], at[s + 1]
         if b > a:
             more = np.minimum(n[a:b], 0xFFFF).astype("<u2") if counted else np.packbits(n[a:b] > 1)
-            yield s, (pos[a:b] & np.uint32((1 << width) - 1)).tobytes(), more.tobytes()
+            yield s, (pos[a:b] - np.uint32(s * width)).tobytes(), more.tobytes()
 
 
 def merged(rows, bits: int) -> bytes:
     """The twice-seen bits of one slice: seen twice by a task, or once by two tasks."""
-    width = bits - SLICES.bit_length() + 1
-    once, twice = np.zeros(1 << width, bool), np.zeros(1 << width, bool)
+    once, twice = np.zeros(bits // SLICES, bool), np.zeros(bits // SLICES, bool)
     for pos, more in rows:
         p = np.frombuffer(pos, np.uint32)
         twice[p] |= once[p] | np.unpackbits(np.frombuffer(more, np.uint8), count=len(p)).astype(bool)
@@ -86,14 +88,9 @@ def merged(rows, bits: int) -> bytes:
     return np.packbits(twice).tobytes()
 
 
-#: Neighbouring positions that share a bit of the filter of hot ones.
-FOLD = 16
-
-
 def merged_counts(rows, bits: int, hot: int) -> bytes:
     """The twice-seen bits of one slice, and after them those of positions seen more than ``hot`` times, FOLD positions a bit."""
-    width = bits - SLICES.bit_length() + 1
-    total = np.zeros(1 << width, np.uint32)
+    total = np.zeros(bits // SLICES, np.uint32)
     for pos, more in rows:
         p, n = np.frombuffer(pos, np.uint32), np.frombuffer(more, "<u2")
         total[p] += np.minimum(n, np.uint32(0xFFFFFFFF) - total[p])
@@ -101,10 +98,10 @@ def merged_counts(rows, bits: int, hot: int) -> bytes:
 
 
 def twice_filter(df: DataFrame, hashes_of, bits: int = BITS, hot: int | None = None) -> bytearray | tuple[bytearray, bytearray]:
-    """The merged filter of a frame with one column, 2**bits bits: bounded, so it may go through the driver.
+    """The merged filter of a frame with one column, so many bits: bounded, so it may go through the driver.
 
     hashes_of(values) gives the 64-bit hashes of an Arrow array of the column, as often as they are to be counted.
-    hot: also the filter of positions seen more than that often, 2**bits / FOLD bits.
+    hot: also the filter of positions seen more than that often, bits / FOLD bits.
     """
 
     def scan(batches):
@@ -133,8 +130,8 @@ def twice_filter(df: DataFrame, hashes_of, bits: int = BITS, hot: int | None = N
         yield pa.RecordBatch.from_pydict({"s": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([got], pa.binary())})
 
     parts = df.mapInArrow(scan, "s int, pos binary, more binary")
-    found = parts.groupBy("s").applyInArrow(merge, "s int, twice binary").collect()  # SLICES rows at most, 2**bits bits in all
-    size = (1 << bits) // 8 // SLICES
+    found = parts.groupBy("s").applyInArrow(merge, "s int, twice binary").collect()  # SLICES rows at most, that many bits in all
+    size = bits // 8 // SLICES
     out, often = bytearray(size * SLICES), bytearray(size // FOLD * SLICES)
     while found:
         r = found.pop()

@@ -51,7 +51,7 @@ HELD = 24 << 20
 #: Runs that a scan task hands on at once.
 PART = 20_000
 #: Bits of the filters, at most (32 MB; a false positive costs a run of bytes here). Occurrences above which an anchor is hot.
-BITS = 28
+BITS = 1 << 28
 HOT = 4096
 
 _M = 0x9E3779B97F4A7C15
@@ -420,7 +420,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int | None = None, i
     own = common.joined_by_size(keyed.where(F.octet_length("text") >= length), copies, ["doc", "tie"], "left_anti", n_copies).select("doc", "tie", "text")
     n_anchors = total / 40  # an anchor for some 40 bytes
     bits = lines.sized(n_anchors, BITS, 8)
-    removed = removed_windows(own, length, bits, hot or max(HOT, int(8 * n_anchors / 2**bits)))
+    removed = removed_windows(own, length, bits, hot or max(HOT, int(8 * n_anchors / bits)))
     spans = removed.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     marked = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc", "tie", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("spans"), F.lit(True).alias("copy")))
     marked = common.written(marked, "marked")

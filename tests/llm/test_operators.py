@@ -354,7 +354,7 @@ def plain_lines(texts, least_docs, least):
     return out
 
 
-@pytest.mark.parametrize(("bits", "bad", "least"), [(28, 10**6, 1), (14, 0, 1), (16, 0, 3)])
+@pytest.mark.parametrize(("bits", "bad", "least"), [(1 << 27, 10**6, 1), (1 << 14, 0, 1), (3 << 15, 0, 3), (1 << 13, 0, 1)])
 def test_line_dedup(spark, docs, empty, bits, bad, least):
     src = docs.collect()
     want = Counter((r.doc_id, *w) for r, w in zip(src, plain_lines([r.text for r in src], 5, least)))
@@ -367,14 +367,34 @@ def test_line_dedup(spark, docs, empty, bits, bad, least):
 
 def test_filters_have_no_false_negatives():
     rng = np.random.default_rng(0)
-    a, b = rng.integers(0, 1 << 12, 500).astype(np.uint32), rng.integers(0, 1 << 12, 500).astype(np.uint32)
-    rows = {}
-    for x in (a, b):
-        for s, p, m in lines.packed(x, 12):
-            rows.setdefault(s, []).append((p, m))
-    bits = b"".join(lines.merged(rows.get(s, []), 12) for s in range(lines.SLICES))
-    n = np.bincount(np.concatenate([a, b]), minlength=1 << 12)
-    assert (np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool) == (n > 1)).all()
+    size = 3 * lines.SLICES * 8 * lines.FOLD
+    a, b = rng.integers(0, size, 9000).astype(np.uint32), rng.integers(0, size, 9000).astype(np.uint32)
+    a[:300] = 77
+    n = np.bincount(np.concatenate([a, b]), minlength=size)
+    for counted in (False, True):
+        rows = {}
+        for x in (a, b):
+            for s, p, m in lines.packed(x, size, counted):
+                rows.setdefault(s, []).append((p, m))
+        if not counted:
+            got = b"".join(lines.merged(rows.get(s, []), size) for s in range(lines.SLICES))
+        else:
+            parts = [lines.merged_counts(rows.get(s, []), size, 200) for s in range(lines.SLICES)]
+            got = b"".join(x[: size // lines.SLICES // 8] for x in parts)
+            hot = np.unpackbits(np.frombuffer(b"".join(x[size // lines.SLICES // 8 :] for x in parts), np.uint8))
+            assert np.flatnonzero(hot).tolist() == [77 // lines.FOLD]
+        assert (np.unpackbits(np.frombuffer(got, np.uint8)).astype(bool) == (n > 1)).all()
+    pos = lines.positions(rng.integers(0, 2**64, 1000, dtype=np.uint64), size)
+    assert pos.max() < size and pos.min() >= 0
+
+
+def test_a_full_filter_only_costs_digests(spark):
+    """With a filter that suspects every line, digests and ids are shuffled, however long the lines are."""
+    rows = [(i, "\n".join(f"{i} line {k} " + "x" * 500 for k in range(5))) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sus = lines.suspects(d, 1, 1 << 13)
+    assert dict(sus.dtypes) == {"digest": "binary", "doc_id": "bigint", "text_hash": "bigint"}
+    assert all(len(r.digest) == 16 for r in sus.collect())
 
 
 # 6

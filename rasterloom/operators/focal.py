@@ -39,14 +39,16 @@ def shift(df: DataFrame, dy: int, dx: int, value: str, fill: float) -> DataFrame
 
 def class_stats(df: DataFrame, r: int, label: str = "label") -> DataFrame:
     """Focal statistics of labels: share equal to the centre (which counts), neighbours that are valid, distinct values
-    (outside the raster counts as one more), and the entropy of the share. Only at pixels that exist."""
+    (outside the raster, or without a label, counts as one more), and the entropy of the share. Only at pixels that exist: one
+    without a label equals none of its neighbours; without valid neighbours as well its share and distinct values are 0, its entropy NULL."""
     d = scattered(df, r, label)
-    centre = F.max(F.when((F.col("dy") == 0) & (F.col("dx") == 0), F.col(label)))
-    g = d.groupBy("scene", "y", "x").agg(centre.alias("centre"), F.count(label).alias("n_valid"), F.collect_list(label).alias("l"))
-    same = F.size(F.filter("l", lambda v: v == F.col("centre")))
-    g = g.where(F.col("centre").isNotNull()).withColumn("frac_same", same / F.col("n_valid"))
-    distinct = F.size(F.array_distinct("l")) + F.when(F.col("n_valid") < (2 * r + 1) ** 2, 1).otherwise(0)
-    return g.select("scene", "y", "x", F.col("centre").alias(label), "frac_same", "n_valid", distinct.alias("n_distinct"), binary_entropy(F.col("frac_same")).alias("entropy"))
+    own = (F.col("dy") == 0) & (F.col("dx") == 0)
+    centre, here = F.max(F.when(own, F.col(label))), F.max(F.when(own, F.lit(True)))
+    g = d.groupBy("scene", "y", "x").agg(centre.alias("centre"), here.alias("here"), F.count(label).alias("n_valid"), F.collect_list(label).alias("l"))
+    same = F.when(F.col("centre").isNull(), 0).otherwise(F.size(F.filter("l", lambda v: v == F.col("centre"))))
+    g = g.where("here").withColumn("frac_same", same / F.greatest(F.col("n_valid"), F.lit(1)))
+    distinct = F.when(F.col("n_valid") == 0, 0).otherwise(F.size(F.array_distinct("l")) + F.when(F.col("n_valid") < (2 * r + 1) ** 2, 1).otherwise(0))
+    return g.select("scene", "y", "x", F.col("centre").alias(label), "frac_same", "n_valid", distinct.alias("n_distinct"), F.when(F.col("n_valid") > 0, binary_entropy(F.col("frac_same"))).alias("entropy"))
 
 
 def class_fractions(df: DataFrame, r: int, classes: Sequence[int], klass: Column) -> DataFrame:

@@ -176,8 +176,8 @@ def fuse(high: DataFrame, low: DataFrame, on: Sequence[str], n_high: int, n_low:
     return j.select(*on, F.concat(F.coalesce("_h", empty(n_high)), F.coalesce("_l", empty(n_low))).alias("bands"))
 
 
-def burn_polygons(polygons: DataFrame, grid: DataFrame, cell: float, value: str = "value") -> DataFrame:
-    """(y, x, value) of grid cells (y, x, lon, lat) whose centre is inside a polygon (ring: array of (x, y)); largest wins.
+def inside_polygons(polygons: DataFrame, grid: DataFrame, cell: float) -> DataFrame:
+    """Rows of the grid (lon, lat) beside the polygons (ring: array of (x, y), of any length) that hold them.
 
     Polygons are copied to the coarse cells that their boxes touch, the grid joins by coarse cell, and ray casting over the
     ring decides, all as Column expressions.
@@ -189,7 +189,66 @@ def burn_polygons(polygons: DataFrame, grid: DataFrame, cell: float, value: str
     g = grid.withColumns({"_c": F.floor(F.col("lon") / cell).cast("int"), "_r": F.floor(F.col("lat") / cell).cast("int")})
     j = g.join(p, ["_c", "_r"]).where(F.col("lon").between(F.col("_w"), F.col("_e")) & F.col("lat").between(F.col("_s"), F.col("_n")))
     # Crossings of the edges (ring[i], ring[i + 1]) with the ray to the east.
-    edges = F.zip_with("ring", F.concat(F.slice("ring", 2, 1_000_000), F.slice("ring", 1, 1)), lambda a, b: F.when(
+    edges = F.zip_with("ring", F.concat(F.slice("ring", F.lit(2), F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1)), lambda a, b: F.when(
         (a["y"] > F.col("lat")) != (b["y"] > F.col("lat")), (F.col("lon") < (b["x"] - a["x"]) * (F.col("lat") - a["y"]) / (b["y"] - a["y"]) + a["x"]).cast("int")).otherwise(0))
     inside = F.pmod(F.aggregate(edges, F.lit(0), lambda s, e: s + e), F.lit(2)) == 1
-    return j.where(inside).groupBy("y", "x").agg(F.max(value).alias(value))
+    return j.where(inside).drop("_c", "_r", "_w", "_e", "_s", "_n")
+
+
+def burn_polygons(polygons: DataFrame, grid: DataFrame, cell: float, value: str = "value") -> DataFrame:
+    """(y, x, value) of grid cells (y, x, lon, lat) whose centre is inside a polygon; the largest value wins."""
+    return inside_polygons(polygons, grid, cell).groupBy("y", "x").agg(F.max(value).alias(value))
+
+
+def polygon_stats(polygons: DataFrame, grid: DataFrame, cell: float, key: str, value: str = "value") -> DataFrame:
+    """Least, greatest and mean value and number of the grid rows inside each polygon; polygons without any keep a row."""
+    found = inside_polygons(polygons.select(key, "ring"), grid.select("lon", "lat", value), cell)
+    stats = found.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+    return polygons.select(key).join(stats, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def clipped_rings(polygons: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """Polygons cut to a box, edge by edge; those that nothing is left of go. Rings that lie inside stay as they are."""
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    near = polygons.where((F.array_max(xs) >= west) & (F.array_min(xs) <= east) & (F.array_max(ys) >= south) & (F.array_min(ys) <= north))
+    ring = F.col("ring")
+    for axis, other, bound, sign in (("x", "y", west, 1), ("x", "y", east, -1), ("y", "x", south, 1), ("y", "x", north, -1)):
+        ring = _half_plane(ring, axis, other, bound, sign)
+    return near.withColumn("ring", ring).where(F.size("ring") >= 3)
+
+
+def _half_plane(ring, axis: str, other: str, bound: float, sign: int):
+    """Of a ring, what lies on one side of a line: each edge gives its crossing, if it has one, and its end, if that stays."""
+    after = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+    def edge(a, b):
+        here, there = sign * (a[axis] - bound), sign * (b[axis] - bound)
+        t = here / F.when(here == there, 1.0).otherwise(here - there)
+        at = a[other] + t * (b[other] - a[other])
+        parts = {axis: F.lit(float(bound)), other: at}
+        cross = F.struct(parts["x"].alias("x"), parts["y"].alias("y"))
+        end = F.struct(b["x"].alias("x"), b["y"].alias("y"))
+        return F.filter(F.array(F.when((here < 0) != (there < 0), cross), F.when(there >= 0, end)), lambda p: p.isNotNull())
+
+    return F.flatten(F.zip_with(ring, after, edge))
+
+
+def healpix(lon, lat, nside: int):
+    """Ring-ordered HEALPix cell of a place in degrees, as a Column expression."""
+    z = F.sin(F.radians(lat))
+    t = F.pmod(lon, F.lit(360.0)) / 90.0
+    flat = z * (nside * 0.75)
+    jp, jm = F.floor(nside * (t + 0.5) - flat), F.floor(nside * (t + 0.5) + flat)
+    ring = nside + 1 + jp - jm
+    place = F.pmod(F.floor((jp + jm - nside + 2 - F.pmod(ring, F.lit(2))) / 2), F.lit(4 * nside))
+    belt = 2 * nside * (nside - 1) + (ring - 1) * (4 * nside) + place
+    part, near = t - F.floor(t), nside * F.sqrt(3 * (1 - F.abs(z)))
+    ring = F.floor(part * near) + F.floor((1 - part) * near) + 1
+    place = F.pmod(F.floor(t * ring), 4 * ring)
+    cap = F.when(z > 0, 2 * ring * (ring - 1) + place).otherwise(12 * nside * nside - 2 * ring * (ring + 1) + place)
+    return F.when(F.abs(z) <= 2 / 3, belt).otherwise(cap).cast("bigint")
+
+
+def healpix_last(df: DataFrame, nside: int, value: str, *order: str) -> DataFrame:
+    """(cell, value): the last value of each HEALPix cell in that order, from rows with lon and lat."""
+    return df.groupBy(healpix(F.col("lon"), F.col("lat"), nside).alias("cell")).agg(F.max_by(value, F.struct(*order)).alias(value))

@@ -178,7 +178,7 @@ def knn(df: DataFrame, key: str, k: int, features: str = "features", blocks: int
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def classifiers(features: Sequence[str], label: str = "label", weight: str = "weight"):
+def classifiers(features: Sequence[str], label: str = "label", weight: str = "weight", trees: int = 100):
     """Pipelines by name: median imputation, then logistic regression (scaled), tree, forest."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
@@ -190,10 +190,48 @@ def classifiers(features: Sequence[str], label: str = "label", weight: str = "we
     return {
         "logistic": Pipeline(stages=[*pre(), StandardScaler(inputCol="raw_features", outputCol="x", withMean=True), LogisticRegression(featuresCol="x", labelCol=label, weightCol=weight, maxIter=200)]),
         "tree": Pipeline(stages=[*pre(), DecisionTreeClassifier(featuresCol="raw_features", labelCol=label, weightCol=weight, maxDepth=5, minInstancesPerNode=20, seed=1)]),
-        "forest": Pipeline(stages=[*pre(), RandomForestClassifier(featuresCol="raw_features", labelCol=label, weightCol=weight, numTrees=100, maxDepth=8, minInstancesPerNode=10, seed=1)]),
+        "forest": Pipeline(stages=[*pre(), RandomForestClassifier(featuresCol="raw_features", labelCol=label, weightCol=weight, numTrees=trees, maxDepth=8, minInstancesPerNode=10, seed=1)]),
     }
 
 
+def cross_validated(df: DataFrame, make, n: int, fold: str = "fold") -> DataFrame:
+    """df with prediction, each row by a model of the other folds (0 to n - 1). make: gives a new unfitted pipeline."""
+    parts = [make().fit(df.where(F.col(fold) != k)).transform(df.where(F.col(fold) == k)).select(*df.columns, "prediction") for k in range(n)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """label, precision, recall, f1, support of each class that occurs in truth or prediction; 0 where a ratio has no base.
+
+    Each row counts once for its truth and once for its prediction, so one aggregate does it.
+    """
+    right = F.when(F.col(label) == F.col(prediction), 1).otherwise(0)
+    both = F.explode(F.array(F.struct(F.col(label).alias("c"), right.alias("tp"), F.lit(1).alias("s"), F.lit(0).alias("g")), F.struct(F.col(prediction).cast(dict(df.dtypes)[label]).alias("c"), F.lit(0).alias("tp"), F.lit(0).alias("s"), F.lit(1).alias("g")))).alias("e")
+    n = df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull()).select(both).groupBy(F.col("e.c").alias("label")).agg(F.sum("e.tp").alias("tp"), F.sum("e.s").alias("support"), F.sum("e.g").alias("given"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    tp, s, g = F.col("tp"), F.col("support"), F.col("given")
+    return n.select("label", ratio(tp, g).alias("precision"), ratio(tp, s).alias("recall"), ratio(2 * tp, s + g).alias("f1"), "support")
+
+
+def member_probabilities(model, df: DataFrame, key: str, positive: int = 1) -> DataFrame:
+    """key, member, probability of the positive class by each tree of a fitted forest pipeline. All trees index classes by label,
+    so their orders agree."""
+    from pyspark.ml.functions import vector_to_array
+
+    d = df
+    for stage in model.stages[:-1]:
+        d = stage.transform(d)
+    rows = []
+    for i, tree in enumerate(model.stages[-1].trees):
+        d = tree.setPredictionCol("").setProbabilityCol("").setRawPredictionCol(f"_raw{i}").transform(d)
+        a = vector_to_array(F.col(f"_raw{i}"))
+        rows.append(F.struct(F.lit(i).alias("member"), (a[positive] / F.aggregate(a, F.lit(0.0), lambda s, v: s + v)).alias("probability")))
+    return d.select(key, F.explode(F.array(*rows)).alias("m")).select(key, "m.member", "m.probability")
+
+
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Adds weight: n / (classes * n of the class)."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))

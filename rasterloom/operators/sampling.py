@@ -38,6 +38,30 @@ def quota_sample(df: DataFrame, stratum: str, key: Sequence[str], total: int, se
     return d.where(F.col("_rank") <= F.col("quota")).drop("_rank", "_s", "quota")
 
 
+def balanced_sample(df: DataFrame, group: str, key: Sequence[str], total: int, seed: int = 0) -> DataFrame:
+    """``total`` rows in all (or all rows, if fewer): the same budget for each group, what is left over from the division one each to the
+    first groups by name, and what small groups leave open filled up from the rest, all by hash order."""
+    groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))  # a row a group
+    everything = Window.partitionBy()
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group)) - 1
+    n = F.count(F.lit(1)).over(everything)
+    budget = F.floor(F.lit(total) / n) + F.when(place < F.pmod(F.lit(total), n), 1).otherwise(0)
+    b = groups.select(F.col(group).alias("_g"), "_n", budget.cast("bigint").alias("_budget"))
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*hash_order(*key, seed=seed))))
+    ranked = ranked.join(b, F.col(group).eqNullSafe(F.col("_g")))
+    taken = ranked.where(F.col("_rank") <= F.col("_budget"))
+    open_ = total - int(b.agg(F.sum(F.least("_n", "_budget"))).first()[0] or 0)
+    more = ranked.where(F.col("_rank") > F.col("_budget")).orderBy(*hash_order(*key, seed=seed)).limit(open_)
+    return taken.unionByName(more).drop("_g", "_n", "_budget", "_rank")
+
+
+def kmeans_sample(df: DataFrame, features: str, key: Sequence[str], k: int, total: int, seed: int = 0) -> DataFrame:
+    """A proportional sample over the strata that k-means finds; adds stratum."""
+    from .learning import kmeans
+
+    return quota_sample(kmeans(df, k, features).withColumnRenamed("label", "stratum"), "stratum", key, total, seed)
+
+
 def lowest_decile(df: DataFrame, by: Sequence[str], value: str, *tie: str) -> DataFrame:
     """The lowest tenth of each group: rows with rank up to floor(n / 10)."""
     w = Window.partitionBy(*by)

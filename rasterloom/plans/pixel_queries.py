@@ -546,3 +546,45 @@ def context_assign_metrics(spark, d):
     c = metrics.confusion(m, "t", "q")
     k = metrics.binary_metrics()
     return c.select("tp", "tn", "fp", "fn", *(F.round(k[n], 6).alias(n) for n in ("precision", "recall", "f1")), k["n"].alias("n"))
+
+
+# cells of the sphere, polygons and batch jobs
+
+@query(f"""with {PX}, p as (select id, value, (x + 0.5) * 7.2 - 180 as lon, (y + 0.5) * 3.6 - 90 as lat from px),
+ a as (select *, sin(radians(lat)) as z, (lon - 360.0 * floor(lon / 360.0)) / 90.0 as t from p),
+ b as (select *, floor(16 * (t + 0.5) - z * 12.0)::bigint as jp, floor(16 * (t + 0.5) + z * 12.0)::bigint as jm, 16 * sqrt(3 * (1 - abs(z))) as near, t - floor(t) as part from a),
+ c as (select *, 17 + jp - jm as ring, (floor(part * near) + floor((1 - part) * near) + 1)::bigint as cap from b),
+ e as (select id, value, case when abs(z) <= 2 / 3 then 480 + (ring - 1) * 64 + ((((jp + jm - 14 - ring % 2) // 2) % 64) + 64) % 64
+  when z > 0 then 2 * cap * (cap - 1) + floor(t * cap)::bigint % (4 * cap) else 3072 - 2 * cap * (cap + 1) + floor(t * cap)::bigint % (4 * cap) end as cell from c)
+ select cell::bigint as cell, arg_max(value, id) as value from e group by 1""")
+def healpix_last(spark, d):
+    p = px(spark, d).withColumns({"lon": (F.col("x") + 0.5) * 7.2 - 180, "lat": (F.col("y") + 0.5) * 3.6 - 90})
+    return grid.healpix_last(p, 16, "value", "id")
+
+
+_SHAPE = ((0.0, 9.3), (8.1, 2.2), (5.4, -7.6), (1.1, -1.7), (-6.3, -6.9), (-8.7, 2.9))
+
+
+def _nation_rings(spark, d):
+    k = F.col("n_nationkey")
+    ring = F.array(*(F.struct((k * 7 % 50 + 0.31 + a).alias("x"), (k * 11 % 50 + 0.17 + b).alias("y")) for a, b in _SHAPE))
+    return table(spark, d, "nation").select(k.alias("zone"), ring.alias("ring"))
+
+
+@query(f"""with {PX}, v as (select n_nationkey as zone, n_nationkey * 7 % 50 + 0.31::double as x0, n_nationkey * 11 % 50 + 0.17::double as y0 from nation),
+ s as (select * from (values {", ".join(f"({i}, {a}::double, {b}::double, {_SHAPE[(i + 1) % 6][0]}::double, {_SHAPE[(i + 1) % 6][1]}::double)" for i, (a, b) in enumerate(_SHAPE))}) t(i, u1, v1, u2, v2)),
+ e as (select zone, x0 + u1 as u1, y0 + v1 as v1, x0 + u2 as u2, y0 + v2 as v2 from v, s),
+ g as (select distinct x, y from px), i as (select zone, x, y from g, e where (v1 > y) <> (v2 > y) and x < (u2 - u1) * (y - v1) / (v2 - v1) + u1 group by all having count(*) % 2 = 1)
+ select v.zone, min(value) as low, max(value) as high, round(avg(value), 6) as mean, count(value) as n from v left join i using (zone) left join px using (x, y) group by v.zone""")
+def polygon_stats(spark, d):
+    p = px(spark, d).select(F.col("x").cast("double").alias("lon"), F.col("y").cast("double").alias("lat"), "value")
+    return grid.polygon_stats(_nation_rings(spark, d), p, 5.0, "zone").withColumn("mean", F.round("mean", 6))
+
+
+@query("""select '{"PARAMETERS":{"INPUT_RASTER":"' || n_name || '.tif","INPUT_VECTOR":"shapes/' || r_name || '.shp","BAND":"1"},"OUTPUTS":{"OUTPUT":"' || n_name || '_' || r_name || '"}}' as job from nation, region""")
+def batch_jobs(spark, d):
+    from ..sources import writers
+
+    rasters = table(spark, d, "nation").select(F.concat("n_name", F.lit(".tif")).alias("raster"))
+    shapes = table(spark, d, "region").select(F.concat(F.lit("shapes/"), "r_name", F.lit(".shp")).alias("shape"))
+    return writers.batch_jobs(rasters, shapes, {"BAND": "1"})

@@ -405,11 +405,49 @@ def cluster_tree(spark, d):
 
 
 def forest_predictions(spark, d):
-    f = ["x0", "x1", "x2", "x3"]
+    v, f = _labelled_vectors(spark, d)
+    return learning.classifiers(f)["forest"].fit(v).transform(v).select("vec_id", "label", "prediction")
+
+
+def _labelled_vectors(spark, d):
+    """All numbers of each vector as columns, its parity as the label, and balanced weights."""
+    f = [f"x{i}" for i in range(64)]
     v = vectors(spark, d).select("vec_id", (F.col("label") % 2).cast("double").alias("label"), *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(f)))
-    v = learning.balanced_weights(v)
-    model = learning.classifiers(f)["logistic"].fit(v)
-    return model.transform(v).select("vec_id", "label", "prediction")
+    return learning.balanced_weights(v), f
+
+
+def cv_report(spark, d):
+    v, f = _labelled_vectors(spark, d)
+    done = learning.cross_validated(sampling.folds(v, "vec_id", 3), lambda: learning.classifiers(f)["tree"], 3)
+    return learning.class_report(done).select("label", "precision", "recall", "f1", "support")
+
+
+def forest_members(spark, d):
+    v, f = _labelled_vectors(spark, d)
+    model = learning.classifiers(f, trees=5)["forest"].fit(v)
+    return learning.member_probabilities(model, v, "vec_id").select("vec_id", "member", "probability")
+
+
+def kmeans_sample(spark, d):
+    v = vectors(spark, d).select("vec_id", "embedding")
+    return sampling.kmeans_sample(v, "embedding", ["vec_id"], 10, 100).select("vec_id", "stratum")
+
+
+@query(f"""with {PX}, g as (select label, count(*) as n, row_number() over (order by label) - 1 as i, count(*) over () as g from px group by label),
+ r as (select id, label, row_number() over (partition by label order by {_HASH}, id) as k, {_HASH} as h from px),
+ f as (select r.*, k <= 5000 // g.g + case when g.i < 5000 % g.g then 1 else 0 end as taken from r join g using (label)),
+ t as (select id, label, row_number() over (order by h, id) as k from f where not taken)
+ select id, label from f where taken union all select id, label from t where k <= 5000 - (select count(*) from f where taken)""")
+def balanced_sample(spark, d):
+    return sampling.balanced_sample(px(spark, d), "label", ["id"], 5000).select("id", "label")
+
+
+@query(f"""with {PX}, p as (select truth, (label % 3)::int as prediction from px), c as (select unnest([0, 1, 2])::int as label),
+ n as (select label, count_if(truth = label and prediction = label) as tp, count_if(truth = label) as support, count_if(prediction = label) as given from c, p group by label)
+ select label, coalesce(tp / nullif(given, 0), 0)::double as precision, coalesce(tp / nullif(support, 0), 0)::double as recall, coalesce(2 * tp / nullif(support + given, 0), 0)::double as f1, support from n""")
+def class_report(spark, d):
+    p = px(spark, d).select(F.col("truth").alias("label"), (F.col("label") % 3).cast("int").alias("prediction"))
+    return learning.class_report(p).select("label", "precision", "recall", "f1", "support")
 
 
 def hole_fill(spark, d):
@@ -426,5 +464,5 @@ def region_sizes(spark, d):
     return regions.sizes(regions.labelled(px(spark, d).where("label < 5"))).select("scene", "region", "size")
 
 
-for _f in (asof_exclusive, pca_scores, kmeans_labels, cluster_tree, forest_predictions, hole_fill, region_sizes):
+for _f in (asof_exclusive, pca_scores, kmeans_labels, cluster_tree, forest_predictions, cv_report, forest_members, kmeans_sample, hole_fill, region_sizes):
     QUERIES[_f.__name__] = _f

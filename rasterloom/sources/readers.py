@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_pattern, name_time
+from . import geotiff
 
 Reader = Callable[..., DataFrame]
 _READERS: dict[str, Reader] = {}
@@ -50,10 +51,10 @@ def json(spark: SparkSession, path: str, schema: str | None = None, **options) -
     return (r.schema(schema) if schema else r).json(path)
 
 
-def _pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pixels(batches: Iterator[pd.DataFrame], load=lambda content: np.load(io.BytesIO(content), allow_pickle=False)) -> Iterator[pd.DataFrame]:
     for f in batches:
         for path, content in zip(f.path, f.content):
-            a = np.load(io.BytesIO(content), allow_pickle=False)
+            a = load(content)
             a = a[:, :, None] if a.ndim == 2 else a
             h, w, c = a.shape
             for y0 in range(0, h, max(1, 200_000 // max(w, 1))):  # some lines at a time
@@ -69,6 +70,32 @@ def npy(spark: SparkSession, path: str, **options) -> DataFrame:
     return files.select("path", "content").mapInPandas(_pixels, "path string, y int, x int, bands array<float>")
 
 
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "content")
+
+
+@register("geotiff")
+def tiff(spark: SparkSession, path: str, pattern: str = "*.tif*", **options) -> DataFrame:
+    """(path, y, x, bands) of GeoTIFF files. A damaged file raises; see geotiff for what is read."""
+    def run(batches):
+        yield from _pixels(batches, lambda content: geotiff.decode(content).pixels)
+
+    return _files(spark, path, pattern).mapInPandas(run, "path string, y int, x int, bands array<float>")
+
+
+@register("geotiff_profile")
+def tiff_profile(spark: SparkSession, path: str, pattern: str = "*.tif*", **options) -> DataFrame:
+    """One row a GeoTIFF file: its size, type, transform, EPSG code, nodata, metadata and ground control points."""
+    def run(batches):
+        for f in batches:
+            rows = [(p, geotiff.decode(c)) for p, c in zip(f.path, f.content)]
+            yield pd.DataFrame([{"path": p, "height": r.pixels.shape[0], "width": r.pixels.shape[1], "n_bands": r.pixels.shape[2], "dtype": r.pixels.dtype.name, "transform": None if r.transform is None else [float(v) for v in r.transform], "epsg": r.epsg, "nodata": r.nodata, "metadata": r.metadata, "gcps": [dict(zip(("line", "sample", "x", "y"), map(float, g))) for g in r.gcps]} for p, r in rows], columns=names).astype({"epsg": "Int32"})
+
+    names = ["path", "height", "width", "n_bands", "dtype", "transform", "epsg", "nodata", "metadata", "gcps"]
+    return _files(spark, path, pattern).mapInPandas(run, "path string, height int, width int, n_bands int, dtype string, transform array<double>, epsg int, nodata double, metadata string, gcps array<struct<line: double, sample: double, x: double, y: double>>")
+
+
 @register("preprocessed")
 def preprocessed(spark: SparkSession, path: str, **options) -> DataFrame:
     """Samples and their indices from <name>.npy (N x F) and <name>.indices.npy (N x 3: scene, y, x)."""
@@ -112,4 +139,4 @@ def scenes_with_geo(scene: DataFrame, geo: DataFrame, fill: str = "mean", consta
     if fill == "constant":
         return j.withColumn(value, F.coalesce(value, F.lit(constant)))
     mean = scene.groupBy("scene").agg(F.avg(value).alias("_mean"))
-    return j.join(F.broadcast(mean), "scene").withColumn(value, F.coalesce(value, "_mean")).drop("_mean")
+    return j.join(mean, "scene").withColumn(value, F.coalesce(value, "_mean")).drop("_mean")

@@ -42,11 +42,16 @@ def assembled(stream: DataFrame, by: str, member: str, n: int, delay: str = "1 h
     return w.where(F.col("n") == n).select(by, "n")
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, by: str, delay: str = "1 hour", tolerance: str = "0 seconds") -> DataFrame:
-    """Points (ts) with the intervals (i_start, i_end) that hold them, up to the tolerance; late truth is waited for."""
+def interval_join(points: DataFrame, intervals: DataFrame, by: str, longest: str, delay: str = "1 hour", tolerance: str = "0 seconds") -> DataFrame:
+    """Points (ts) with the intervals (i_start, i_end) that hold them, up to the tolerance; late truth is waited for.
+
+    longest: what an interval may last. It bounds the points that are kept in state; a longer interval stops the stream.
+    """
     p = points.withWatermark("ts", delay).alias("p")
-    i = intervals.withWatermark("i_start", delay).alias("i")
-    on = F.expr(f"p.{by} = i.i_{by} AND p.ts >= i.i_start - INTERVAL {tolerance} AND p.ts <= i.i_end + INTERVAL {tolerance} AND p.ts <= i.i_start + INTERVAL 1 day + INTERVAL {tolerance}")
+    too_long = F.col("i_end") > F.col("i_start") + F.expr(f"INTERVAL {longest}")
+    checked = intervals.withColumn("i_end", F.when(too_long, F.raise_error(F.lit(f"an interval is longer than {longest}")).cast("timestamp")).otherwise(F.col("i_end")))
+    i = checked.withWatermark("i_start", delay).alias("i")
+    on = F.expr(f"p.{by} = i.i_{by} AND p.ts >= i.i_start - INTERVAL {tolerance} AND p.ts <= i.i_end + INTERVAL {tolerance} AND p.ts <= i.i_start + INTERVAL {longest} + INTERVAL {tolerance}")
     return p.join(i, on)
 
 

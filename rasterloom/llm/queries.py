@@ -145,7 +145,7 @@ with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(
 w as (select doc_id, i, md5(substr(x, 2 * i + 1, 200)) as k from (select doc_id, x, unnest(range(0, greatest(n - 99, 0))) as i from d)),
 f as (select k, min(struct_pack(doc_id := doc_id, i := i)) as f from w group by k having count(*) > 1),
 g as (select w.doc_id, w.i from w join f on f.k = w.k where (w.doc_id, w.i) <> (f.f.doc_id, f.f.i)),
-b as (select d.doc_id, d.x, unnest(range(0, d.n)) as b from d),
+b as (select d.doc_id, d.x, unnest(range(0, d.n)) as b from d where d.doc_id in (select doc_id from g)),
 c as (select b.doc_id, b.b, substr(b.x, 2 * b.b + 1, 2) as x,
     max(g.i) over (partition by b.doc_id order by b.b rows between 99 preceding and current row) is not null as gone
     from b left join g on g.doc_id = b.doc_id and g.i = b.b),
@@ -153,7 +153,7 @@ s as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order
 r as (select doc_id, count(*) filter (where gone) as n_removed, count(*) filter (where starts) as n_spans,
     sha256(unhex(coalesce(string_agg(x, '' order by b) filter (where not gone), ''))) as kept_sha256 from s group by doc_id)
 select d.doc_id, d.n::bigint as n_bytes, coalesce(r.n_removed, 0)::bigint as n_removed, coalesce(r.n_spans, 0)::bigint as n_spans,
-    coalesce(r.kept_sha256, sha256('')) as kept_sha256
+    coalesce(r.kept_sha256, sha256(unhex(d.x))) as kept_sha256
 from d left join r on r.doc_id = d.doc_id
 """
 

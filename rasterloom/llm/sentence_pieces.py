@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import common, pieces
 
 #: Chunk encodings that a Python worker remembers, twice over (see pieces.Memo), and pair tests; those start anew when full.
-MEMO = 60_000
-PAIRS = 300_000
+MEMO = 150_000
+PAIRS = 400_000
 
 
 class Codec:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.scalars import binary_entropy
 
 
@@ -86,7 +87,7 @@ def focal_mean(df: DataFrame, r: int, value: str = "value") -> DataFrame:
 def lee_filter(df: DataFrame, r: int, value: str = "value") -> DataFrame:
     """Speckle filter: local mean plus the deviation weighted by local variance over local and overall variance."""
     overall = df.groupBy("scene").agg(F.var_pop(value).alias("_all"))
-    s = df.join(scattered_lines(df, r, value), ["scene", "y", "x"]).join(F.broadcast(overall), "scene")
+    s = df.join(scattered_lines(df, r, value), ["scene", "y", "x"]).join(storage.counted(overall, "scenes"), "scene")
     mean = F.col("box_sum") / F.col("box_n")
     var = F.greatest(F.col("box_sq") / F.col("box_n") - mean * mean, F.lit(0.0))
     w = F.coalesce(F.try_divide(var, var + F.col("_all")), F.lit(0.0))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.scalars import EARTH_KM, haversine_km
 
 
@@ -149,7 +150,7 @@ def extent_tile(v: Column, n: int, size: int) -> Column:
 def axis_subset(spark: SparkSession, lats: DataFrame, lons: DataFrame, box: Sequence[float]) -> DataFrame:
     """Grid places (y, x) of the axis values inside a box: the product of two short axis tables."""
     west, south, east, north = box
-    return lats.where(F.col("lat").between(south, north)).crossJoin(F.broadcast(lons.where(F.col("lon").between(west, east))))
+    return lats.where(F.col("lat").between(south, north)).crossJoin(storage.counted(lons.where(F.col("lon").between(west, east)), "axis"))
 
 
 def reproject_nearest(df: DataFrame, source_gt: Sequence[float], target_gt: Sequence[float], height: int, width: int, source_crs: str, target_crs: str) -> DataFrame:

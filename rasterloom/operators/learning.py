@@ -13,8 +13,13 @@ from .. import storage
 from ..functions.scalars import clipped_log
 
 
+#: Groups in which the sums of tasks are added first.
+SALTS = 512
+
+
 def moments(df: DataFrame, features: str = "features") -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean and covariance of an array column, from one aggregate of sums that each task makes first."""
+    """Mean and covariance of an array column. Tasks make sums first; these are added on the executors, a row of the matrix at a time and
+    in two steps, so the driver sees one row a dimension whatever the number of tasks."""
     def run(frames):
         n, s, p = 0, 0.0, 0.0
         for f in frames:
@@ -22,13 +27,18 @@ def moments(df: DataFrame, features: str = "features") -> tuple[np.ndarray, np.n
             if len(x):
                 n, s, p = n + len(x), s + x.sum(0), p + x.T @ x
         if n:
-            yield pd.DataFrame({"n": [n], "s": [s], "p": [p.ravel()]})
+            yield pd.DataFrame({"i": range(len(s)), "n": n, "s": s, "p": list(p)})
+
+    def add(key, f):
+        return pd.DataFrame({"i": [key[0]], "n": [f.n.sum()], "s": [f.s.sum()], "p": [np.stack(f.p.to_numpy()).sum(0)]})
 
-    rows = df.select(features).mapInPandas(run, "n bigint, s array<double>, p array<double>").collect()  # a row a task
-    n = sum(r.n for r in rows)
-    s, p = sum(np.array(r.s) for r in rows), sum(np.array(r.p) for r in rows)
-    mean = s / n
-    return mean, p.reshape(len(mean), -1) / n - np.outer(mean, mean), n
+    kinds = "i int, n bigint, s double, p array<double>"
+    part = df.select(features).mapInPandas(run, kinds).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    rows = part.groupBy("i", "salt").applyInPandas(add, kinds).groupBy("i").applyInPandas(add, kinds).orderBy("i").collect()  # a row a dimension
+    if not rows:
+        raise ValueError("moments of no rows")
+    n, mean = rows[0].n, np.array([r.s for r in rows]) / rows[0].n
+    return mean, np.array([r.p for r in rows]) / n - np.outer(mean, mean), n
 
 
 def pca_fit(df: DataFrame, keep: float = 0.99, features: str = "features") -> tuple[np.ndarray, np.ndarray]:
@@ -149,31 +159,72 @@ def cluster_tree(df: DataFrame, children: int, least: int, key: str, features: s
     return out.withColumn("cluster", (F.col(parent) * children + F.col("child")).cast("int")).drop("p", "centres")
 
 
-def knn(df: DataFrame, key: str, k: int, features: str = "features", blocks: int = 8) -> DataFrame:
-    """(a, b, dist, rank): the k nearest by cosine distance, self excluded, exact.
+#: Rows of a block of vectors: a task scores one block against one other.
+BLOCK_ROWS = 4096
 
-    Vectors are scored block against block in numpy; each task keeps the k best of a block, and a rank over these few picks
-    the k best of all.
+
+def knn(df: DataFrame, key: str, k: int, features: str = "features", block: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, dist, rank): the k nearest by cosine distance, self excluded, exact. Ties: the smaller key. Vectors that are null or zero have
+    no distance and no neighbours.
+
+    The number of blocks comes from the number of rows, so a task holds two blocks of about ``block`` rows however many rows there are.
+    Each pair of blocks is scored once, for both sides. The work is that of all pairs; ``approximate_knn`` is the way for more rows.
     """
-    x = df.select(F.col(key).alias("id"), F.col(features).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("blk"))
-    packs = x.groupBy("blk").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    a, b = packs.select(F.col("blk").alias("ba"), F.col("rows").alias("ra")), packs.select(F.col("blk").alias("bb"), F.col("rows").alias("rb"))
+    return _nearest(df.select(F.lit(0).alias("bucket"), F.col(key).alias("id"), F.col(features).alias("v")), k, block)
+
+
+def approximate_knn(df: DataFrame, key: str, k: int, features: str = "features", tables: int = 8, rows: int = 1024, seed: int = 1, block: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, dist, rank) as ``knn``, with neighbours sought only among rows that share a bucket in one of ``tables`` hash tables.
+
+    A bucket is the side of random hyperplanes through the mean, as many as leave about ``rows`` rows a bucket. All rows are indexed.
+    A bucket of more than ``block`` rows is scored block against block, so none is held whole; equal pairs of two tables count once.
+    """
+    mean, _, n = moments(df.where(F.col(features).isNotNull()), features)
+    bits = max(0, int(np.ceil(np.log2(max(n / rows, 1)))))
+    planes = np.random.default_rng(seed).standard_normal((len(mean), tables * bits))
 
     def run(frames):
         for f in frames:
-            for ra, rb in zip(f.ra, f.rb):
-                ia, ib = np.array([r["id"] for r in ra]), np.array([r["id"] for r in rb])
-                xa, xb = (np.stack([np.asarray(r["v"], float) for r in rows]) for rows in (ra, rb))
-                d = 1 - (xa / np.linalg.norm(xa, axis=1, keepdims=True)) @ (xb / np.linalg.norm(xb, axis=1, keepdims=True)).T
-                d[ia[:, None] == ib[None]] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, : min(k, d.shape[1])]
-                rows = np.repeat(np.arange(len(ia)), best.shape[1])
-                yield pd.DataFrame({"a": ia[rows], "b": ib[best.ravel()], "dist": d[rows, best.ravel()]})
+            side = ((np.stack(f.v.to_numpy()).astype(float) - mean) @ planes > 0).reshape(len(f), tables, bits) if len(f) else np.zeros((0, tables, bits), bool)
+            code = (side * 2 ** np.arange(bits)).sum(2) + np.arange(tables) * 2**bits
+            yield pd.DataFrame({"id": f.id, "v": f.v, "buckets": list(code.astype("int64"))})
+
+    d = df.where(F.col(features).isNotNull()).select(F.col(key).alias("id"), F.col(features).alias("v"))
+    kinds = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in d.schema)
+    return _nearest(d.mapInPandas(run, f"{kinds}, buckets array<bigint>").select(F.explode("buckets").alias("bucket"), "id", "v"), k, block)
+
 
+def _nearest(x: DataFrame, k: int, block: int) -> DataFrame:
+    """The k nearest of each id among the rows of its buckets: (bucket, id, v) to (a, b, dist, rank)."""
     from pyspark.sql import Window
 
-    # Blocks against blocks: blocks^2 pairs of packs, not of rows.
-    c = a.crossJoin(b).mapInPandas(run, "a bigint, b bigint, dist double").where(F.col("dist") < float("inf"))
+    x = x.where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    n = x.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    x = x.join(storage.counted(n, "buckets"), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    # Block i meets block j once, as the pair (min, max): a row goes to every pair that its block is in.
+    x = x.select("bucket", "own", "id", "v", other).select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "v")
+
+    def best(ia, xa, ib, xb):
+        d = 1 - xa @ xb.T
+        d[(ia[:, None] == ib[None]) | np.isnan(d)] = np.inf
+        order = np.argsort(ib, kind="stable")  # ties: the smaller key
+        pick = order[np.argsort(d[:, order], axis=1, kind="stable")[:, : min(k, d.shape[1])]]
+        rows = np.repeat(np.arange(len(ia)), pick.shape[1])
+        return pd.DataFrame({"a": ia[rows], "b": ib[pick.ravel()], "dist": d[rows, pick.ravel()]})
+
+    def run(key, f):
+        at = f.own.to_numpy() == key[1]
+        ids, v = f.id.to_numpy(), np.stack(f.v.to_numpy()).astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        if key[1] == key[2]:
+            return best(ids, v, ids, v)
+        return pd.concat([best(ids[at], v[at], ids[~at], v[~at]), best(ids[~at], v[~at], ids[at], v[at])]) if at.any() and not at.all() else pd.DataFrame({"a": ids[:0], "b": ids[:0], "dist": v[:0, 0]})
+
+    kind = x.schema["id"].dataType.simpleString()
+    c = x.groupBy("bucket", "lo", "hi").applyInPandas(run, f"a {kind}, b {kind}, dist double").where(F.col("dist") < float("inf"))
+    c = c.groupBy("a", "b").agg(F.min("dist").alias("dist"))
     w = Window.partitionBy("a").orderBy("dist", "b")
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -236,7 +287,7 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Adds weight: n / (classes * n of the class)."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     total = n.agg(F.sum("_c").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    return df.join(F.broadcast(n), label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_t") / (F.col("_k") * F.col("_c"))).drop("_c", "_t", "_k")
+    return df.join(storage.counted(n, "classes"), label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_t") / (F.col("_k") * F.col("_c"))).drop("_c", "_t", "_k")
 
 
 def quantile_distance(a: DataFrame, b: DataFrame, value: str, quantiles: int = 101) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
+
 #: Fixed value: slack at both ends of a valid range; the upper end itself is invalid.
 SLACK = 5e-11
 
@@ -125,7 +127,7 @@ def scaler_fit(df: DataFrame, value: str = "value", by: Sequence[str] = ()) -> D
 
 def scaler_apply(df: DataFrame, fit: DataFrame, kind: str = "standard", value: str = "value", by: Sequence[str] = ()) -> DataFrame:
     """Adds ``scaled``; NULL stays NULL, and a constant channel scales to 0. fit has one row, or one a group."""
-    d = df.join(F.broadcast(fit), list(by)) if by else df.crossJoin(F.broadcast(fit))
+    d = df.join(storage.counted(fit, "scaler"), list(by)) if by else df.crossJoin(F.broadcast(fit))
     v = F.col(value)
     scaled = {
         "standard": (v - F.col("mean")) / F.when(F.col("std") > 0, F.col("std")).otherwise(1.0),
@@ -138,7 +140,7 @@ def scaler_apply(df: DataFrame, fit: DataFrame, kind: str = "standard", value: s
 def impute_normalise(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """NULL becomes the channel's mean, then values are centred and scaled by the valid pixels' mean and deviation."""
     fit = scaler_fit(df, value, by).select(*by, "mean", "std")
-    d = df.join(F.broadcast(fit), list(by))
+    d = df.join(storage.counted(fit, "scaler"), list(by))
     return d.withColumn("scaled", (F.coalesce(F.col(value), F.col("mean")) - F.col("mean")) / F.when(F.col("std") > 0, F.col("std")).otherwise(1.0)).drop("mean", "std")
 
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import micros, midpoint_distance, seconds_between, seconds_to_interval
@@ -28,15 +28,44 @@ def candidates(targets: DataFrame, others: DataFrame, by: Sequence[str], seconds
     return t.join(o, [*by, "_b"]).drop("_b").withColumn("dt", seconds_between(F.col("ts"), F.col("o_ts"))).where(F.abs("dt") <= seconds)
 
 
-def asof_nearest(targets: DataFrame, others: DataFrame, by: Sequence[str], seconds: float, key: Sequence[str], path: str) -> DataFrame:
-    """Each target (``key``) with its nearest other in either direction; ties: the smaller path. Others may be reused."""
-    c = candidates(targets, others, by, seconds)
-    return c.groupBy(*key).agg(F.min(F.struct(F.abs("dt").alias("adt"), F.col(path), F.col("dt"))).alias("m")).select(*key, f"m.{path}", "m.dt")
+def asof_nearest(targets: DataFrame, others: DataFrame, by: Sequence[str], seconds: float, key: Sequence[str], path: str, slices: int = 16) -> DataFrame:
+    """Each target (``key``) with its nearest other in either direction; ties: the smaller path. Others may be reused.
+
+    Linear in both sides: no pairs are made. Rows meet in slices of time, ``slices`` of them a tolerance, so that a hot key spreads; inside one the last
+    other before and the first after a target are windows, and beyond it they are the ends of the nearest slices that hold others.
+    """
+    wide = seconds / slices
+    o = others.where(F.col("o_ts").isNotNull()).select(*by, F.col("o_ts").alias("_t"), F.col(path).alias("_p"))
+    o = o.withColumn("_b", _bucket(F.col("_t"), wide))
+    t = targets.where(F.col("ts").isNotNull()).select(*by, *(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col("ts").alias("_t"))
+    t = t.withColumn("_b", _bucket(F.col("_t"), wide))
+    for c in by:
+        o, t = o.where(F.col(c).isNotNull()), t.where(F.col(c).isNotNull())
+    # Ends of each slice with others or targets, a row a slice: the last other before it, the first after it.
+    ends = o.groupBy(*by, "_b", "_t").agg(F.min("_p").alias("_p")).groupBy(*by, "_b").agg(F.min(F.struct("_t", "_p")).alias("first"), F.max_by(F.struct("_t", "_p"), "_t").alias("last"))
+    slots = t.select(*by, "_b").distinct().join(ends, [*by, "_b"], "full_outer")
+    w = Window.partitionBy(*by).orderBy("_b")
+    before = F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_far_before")
+    after = F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_far_after")
+    slots = slots.select(*by, "_b", before, after)
+    # Targets after others of the same time going up, and again going down; of equal times the smaller path comes next to the target.
+    u = t.withColumn("_o", F.lit(0)).unionByName(o.withColumn("_o", F.lit(1)), allowMissingColumns=True)
+    other = F.when(F.col("_o") == 1, F.struct("_t", "_p"))
+    up = Window.partitionBy(*by, "_b").orderBy("_t", F.col("_o").desc(), F.col("_p").desc())
+    down = Window.partitionBy(*by, "_b").orderBy(F.col("_t").desc(), F.col("_o").desc(), F.col("_p").desc())
+    near = u.withColumn("_before", F.last(other, ignorenulls=True).over(up)).withColumn("_after", F.last(other, ignorenulls=True).over(down))
+    near = near.where(F.col("_o") == 0).drop("_o", "_p").join(slots, [*by, "_b"], "left")
+    near = near.withColumn("_c", F.explode(F.array(F.coalesce("_before", "_far_before"), F.coalesce("_after", "_far_after"))))
+    near = near.withColumn("dt", seconds_between(F.col("_t"), F.col("_c._t"))).where(F.abs("dt") <= seconds)
+    m = F.min(F.struct(F.abs("dt").alias("adt"), F.col("_c._p").alias("_p"), F.col("dt"))).alias("m")
+    names = [F.col(f"_k{i}").alias(k) for i, k in enumerate(key)]
+    return near.groupBy(*names).agg(m).select(*key, F.col("m._p").alias(path), "m.dt")
 
 
 def asof_families(targets: DataFrame, families: Sequence[tuple[DataFrame, int, float]], by: Sequence[str], key: Sequence[str], path: str) -> DataFrame:
-    """The best of several families of others, each with its priority and tolerance: least |dt|, then priority, then path."""
-    parts = [candidates(targets, o, by, s).select(*key, path, "dt", F.lit(p).alias("priority")) for o, p, s in families]
+    """The best of several families of others, each with its priority and tolerance: least |dt|, then priority, then path.
+    The best of a family is its nearest, so one row a target and family remains to be compared."""
+    parts = [asof_nearest(targets, o, by, s, key, path).withColumn("priority", F.lit(p)) for o, p, s in families]
     c = reduce(DataFrame.unionByName, parts)
     return c.groupBy(*key).agg(F.min(F.struct(F.abs("dt").alias("adt"), F.col("priority"), F.col(path), F.col("dt"))).alias("m")).select(*key, "m.priority", f"m.{path}", "m.dt")
 
@@ -64,8 +93,6 @@ def exclusive(cands: DataFrame, product: str, target: str, path: str) -> DataFra
 
 def gap_islands(cands: DataFrame, product: str, seconds: float) -> DataFrame:
     """Adds island: runs of target times of a product without a gap above twice the tolerance. No path can serve two islands."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(product).orderBy("ts")
     gap = seconds_between(F.lag("ts").over(w), F.col("ts")) > 2 * seconds
     return cands.withColumn("island", F.sum(F.coalesce(gap.cast("int"), F.lit(0))).over(w.rangeBetween(Window.unboundedPreceding, 0)))

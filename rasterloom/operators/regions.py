@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine_km
-from ..storage import dropped, written
+from ..storage import counted, dropped, written
 
 BLOCK = 256
 
@@ -88,7 +88,7 @@ def filled(df: DataFrame, meta: DataFrame, value: str = "value") -> DataFrame:
 
     ones = df.where(F.col(value) == 1).select("scene", "y", "x")
     back = labelled(dense(meta).join(ones, ["scene", "y", "x"], "left_anti"), eight=False)
-    edge = back.join(F.broadcast(meta), "scene").where((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x") == F.col("width") - 1)).select("scene", "region").distinct()
+    edge = back.join(counted(meta, "scenes"), "scene").where((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x") == F.col("width") - 1)).select("scene", "region").distinct()
     holes = back.join(edge, ["scene", "region"], "left_anti").select("scene", "y", "x")
     return dense(meta).join(ones.unionByName(holes).withColumn("filled", F.lit(1)), ["scene", "y", "x"], "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
 

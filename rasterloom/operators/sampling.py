@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampType
+
+from .. import storage
 
 
 def hash_order(*keys: str, seed: int = 0) -> list[Column]:
@@ -34,7 +38,8 @@ def quota_sample(df: DataFrame, stratum: str, key: Sequence[str], total: int, se
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
     q = quotas(counts, total, key=stratum).select(F.col(stratum).alias("_s"), "quota")
     w = Window.partitionBy(stratum).orderBy(*hash_order(*key, seed=seed))
-    d = df.withColumn("_rank", F.row_number().over(w)).join(F.broadcast(q), F.col(stratum).eqNullSafe(F.col("_s")))
+    # No quota is above total: with this constant bound Spark prunes each task's rows of a stratum before the shuffle.
+    d = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= total).join(storage.counted(q, "quotas"), F.col(stratum).eqNullSafe(F.col("_s")))
     return d.where(F.col("_rank") <= F.col("quota")).drop("_rank", "_s", "quota")
 
 
@@ -48,7 +53,8 @@ def balanced_sample(df: DataFrame, group: str, key: Sequence[str], total: int, s
     budget = F.floor(F.lit(total) / n) + F.when(place < F.pmod(F.lit(total), n), 1).otherwise(0)
     b = groups.select(F.col(group).alias("_g"), "_n", budget.cast("bigint").alias("_budget"))
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*hash_order(*key, seed=seed))))
-    ranked = ranked.join(b, F.col(group).eqNullSafe(F.col("_g")))
+    # Beyond rank total no row can be taken: the rows before it in its group fill all that is open.
+    ranked = ranked.where(F.col("_rank") <= total).join(storage.counted(b, "budgets"), F.col(group).eqNullSafe(F.col("_g")))
     taken = ranked.where(F.col("_rank") <= F.col("_budget"))
     open_ = total - int(b.agg(F.sum(F.least("_n", "_budget"))).first()[0] or 0)
     more = ranked.where(F.col("_rank") > F.col("_budget")).orderBy(*hash_order(*key, seed=seed)).limit(open_)
@@ -62,33 +68,54 @@ def kmeans_sample(df: DataFrame, features: str, key: Sequence[str], k: int, tota
     return quota_sample(kmeans(df, k, features).withColumnRenamed("label", "stratum"), "stratum", key, total, seed)
 
 
+def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], need: Column, flag: str, pieces: int = 200) -> DataFrame:
+    """Adds ``flag``: whether a row is among the first ``need`` (an expression of the group's count _n) of its group in order, nulls first.
+
+    No group is sorted whole. Quantiles of an order column cut a group into single values and the gaps between them, counts find the one
+    where the cut falls, and only its rows go on: to the next column if it is one value, which may hold most rows, else to a rank.
+    Quantiles may be rough: they only spread the work. Columns that aren't numbers or times are ranked.
+    """
+    keys = list(by) or ["_all"]
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keys)))
+    d = df if by else df.withColumn("_all", F.lit(0))
+    own = [F.col(c).alias(f"_{i}") for i, c in enumerate(keys)]
+    names = [f"_{i}" for i in range(len(keys))]
+    left = d.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).select(*names, need.cast("bigint").alias("_need"), F.lit(False).alias("_gap"))
+    left, done = storage.counted(left, "cut"), []
+    rest = d.join(left, same).drop(*names)
+    for c in order:
+        if not isinstance(df.schema[c].dataType, (NumericType, TimestampType, DateType)):
+            break
+        q = storage.counted(rest.groupBy(*own).agg(F.percentile_approx(c, [i / pieces for i in range(1, pieces)]).alias("_q")), "cut")
+        below, at = F.size(F.filter("_q", lambda v: v < F.col(c))), F.array_contains("_q", F.col(c))
+        place = F.when(F.col("_gap"), 0).when(F.col(c).isNull() | F.col("_q").isNull(), -1).otherwise(2 * below + F.coalesce(at, F.lit(False)).cast("int"))
+        rest = rest.join(q, same).withColumn("_k", place).drop("_q", *names)
+        hist = rest.groupBy(*own, "_k", "_need", "_gap").agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy(*names).orderBy("_k")
+        hist = hist.withColumn("_before", F.sum("_c").over(w) - F.col("_c"))  # 2 * pieces rows a group at most
+        edge = hist.where((F.col("_before") <= F.col("_need")) & (F.col("_need") < F.col("_before") + F.col("_c")))
+        gap = F.col("_gap") | ((F.col("_k") >= 0) & (F.col("_k") % 2 == 0))
+        edge = storage.counted(edge.select(*names, F.col("_k").alias("_edge"), (F.col("_need") - F.col("_before")).alias("_open"), gap.alias("_g")), "cut")
+        # A group without an edge takes all its rows.
+        rest = rest.join(edge, same, "left").drop(*names)
+        done.append(rest.where(F.col("_edge").isNull() | (F.col("_k") != F.col("_edge"))).withColumn(flag, F.col("_edge").isNull() | (F.col("_k") < F.col("_edge"))).select(*df.columns, flag))
+        rest = rest.where(F.col("_k") == F.col("_edge")).drop("_need", "_gap", "_k", "_edge").withColumnsRenamed({"_open": "_need", "_g": "_gap"})
+        if not edge.where(~F.col("_g")).limit(1).count():
+            break  # no cut falls on a single value
+    w = Window.partitionBy(*keys).orderBy(*order)
+    done.append(rest.withColumn(flag, F.row_number().over(w) <= F.col("_need")).select(*df.columns, flag))
+    return reduce(DataFrame.unionByName, done)
+
+
 def lowest_decile(df: DataFrame, by: Sequence[str], value: str, *tie: str) -> DataFrame:
     """The lowest tenth of each group: rows with rank up to floor(n / 10)."""
-    w = Window.partitionBy(*by)
-    d = df.withColumn("_rank", F.row_number().over(w.orderBy(value, *tie))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return d.where(F.col("_rank") <= F.floor(F.col("_n") / 10)).drop("_rank", "_n")
-
+    return first_rows(df, by, [value, *tie], F.floor(F.col("_n") / 10), "_in").where("_in").drop("_in")
 
-def split_by_position(df: DataFrame, order: Sequence[str], validation: float, buckets: int = 1024) -> DataFrame:
-    """Adds part: train for the first int(n * (1 - validation)) rows in order, else val. order: one numeric column first.
 
-    No window over all rows: the cut is an order value, found from a histogram of the first order column; only rows
-    that share the boundary bucket are ranked.
-    """
-    n = df.count()
-    cut = int(n * (1 - validation))
-    lo, hi = df.agg(F.min(order[0]), F.max(order[0])).first()
-    width = max((float(hi) - float(lo)) / buckets, 1e-300) if n else 1.0
-    b = F.least(F.lit(buckets - 1), F.floor((F.col(order[0]) - F.lit(float(lo or 0))) / width)).cast("int")
-    hist = sorted((r[0], r[1]) for r in df.groupBy(b.alias("b")).agg(F.count(F.lit(1))).collect())  # at most ``buckets`` rows
-    before, edge = 0, buckets
-    for k, c in hist:
-        if before + c > cut:
-            edge = k
-            break
-        before += c
-    inside = df.where(b == edge).withColumn("_rank", F.row_number().over(Window.orderBy(*order))).withColumn("part", F.when(F.col("_rank") <= cut - before, "train").otherwise("val")).drop("_rank")
-    return df.where(b != edge).withColumn("part", F.when(b < edge, "train").otherwise("val")).unionByName(inside)
+def split_by_position(df: DataFrame, order: Sequence[str], validation: float) -> DataFrame:
+    """Adds part: train for the first int(n * (1 - validation)) rows in order, else val."""
+    d = first_rows(df, [], order, F.floor(F.col("_n") * F.lit(1 - validation)), "_in")
+    return d.withColumn("part", F.when(F.col("_in"), "train").otherwise("val")).drop("_in")
 
 
 def holdout(df: DataFrame, mode: str, group: str | None = None, date: str | None = None, fraction: float = 0.2, cutoff: str | None = None, ranges: Sequence[tuple[str, str]] = (), seed: int = 0) -> DataFrame:

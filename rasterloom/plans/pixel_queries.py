@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import scalars as S
 from ..operators import classes, focal, grid, masking, merging, metrics, tiles, zonal
 from .views import GEO, PX, PX2, STATIONS, geo_px, px, px2, query, stations, table
@@ -542,7 +543,7 @@ def context_assign_metrics(spark, d):
     """Which class does each cluster belong to, and how good is the resulting map? One pass for the histogram, one for the map."""
     p = px(spark, d)
     assigned = zonal.majority(_counts(spark, d), 0.34).where("status = 'assigned'").select(F.col("cluster").alias("label"), F.col("class").alias("pred"))
-    m = p.join(F.broadcast(assigned), "label").select((F.col("truth") == 1).cast("int").alias("t"), (F.col("pred") == 1).cast("int").alias("q"))
+    m = p.join(storage.counted(assigned, "assigned"), "label").select((F.col("truth") == 1).cast("int").alias("t"), (F.col("pred") == 1).cast("int").alias("q"))
     c = metrics.confusion(m, "t", "q")
     k = metrics.binary_metrics()
     return c.select("tp", "tn", "fp", "fn", *(F.round(k[n], 6).alias(n) for n in ("precision", "recall", "f1")), k["n"].alias("n"))

@@ -53,6 +53,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def counted(df: DataFrame, name: str = "counted") -> DataFrame:
+    """The frame written once and counted; broadcast only if it has BROADCAST_ROWS rows at most, else joined by shuffle."""
+    from pyspark.sql import functions as F
+
+    out = written(df, name)
+    return F.broadcast(out) if out.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else out
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes tables made by written() that no lazy result needs any more."""
     for df in frames:

@@ -68,53 +68,60 @@ def kmeans_sample(df: DataFrame, features: str, key: Sequence[str], k: int, tota
     return quota_sample(kmeans(df, k, features).withColumnRenamed("label", "stratum"), "stratum", key, total, seed)
 
 
-def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], need: Column, flag: str, pieces: int = 200) -> DataFrame:
+def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], need: Column, share: float, flag: str, margin: float = 0.0083) -> DataFrame:
     """Adds ``flag``: whether a row is among the first ``need`` (an expression of the group's count _n) of its group in order, nulls first.
 
-    No group is sorted whole. Quantiles of an order column cut a group into single values and the gaps between them, counts find the one
-    where the cut falls, and only its rows go on: to the next column if it is one value, which may hold most rows, else to a rank.
-    Quantiles may be rough: they only spread the work. Columns that aren't numbers or times are ranked.
+    No group is sorted whole. Two quantiles of an order column, on both sides of ``share``, cut a group into five parts: the two values and what lies
+    before, between and after them. Counts find the part where the cut falls, and only its rows go on: to the next column if it is a single value,
+    which may hold most rows, else to a rank. A rough share or quantile only makes that part larger. Columns that aren't numbers or times are ranked.
     """
     keys = list(by) or ["_all"]
+    rest = df if by else df.withColumn("_all", F.lit(0))
+    own, names = [F.col(c).alias(f"_{i}") for i, c in enumerate(keys)], [f"_{i}" for i in range(len(keys))]
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keys)))
-    d = df if by else df.withColumn("_all", F.lit(0))
-    own = [F.col(c).alias(f"_{i}") for i, c in enumerate(keys)]
-    names = [f"_{i}" for i in range(len(keys))]
-    left = d.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).select(*names, need.cast("bigint").alias("_need"), F.lit(False).alias("_gap"))
-    left, done = storage.counted(left, "cut"), []
-    rest = d.join(left, same).drop(*names)
-    for c in order:
-        if not isinstance(df.schema[c].dataType, (NumericType, TimestampType, DateType)):
+    state = [F.count(F.lit(1)).alias("_n")]
+    sides, done = [max(share - margin, 0.0), min(share + margin, 1.0)], []
+    fits = [isinstance(df.schema[c].dataType, (NumericType, TimestampType, DateType)) for c in order]
+    for i, c in enumerate(order):
+        if i and not fits[i]:
             break
-        q = storage.counted(rest.groupBy(*own).agg(F.percentile_approx(c, [i / pieces for i in range(1, pieces)]).alias("_q")), "cut")
-        below, at = F.size(F.filter("_q", lambda v: v < F.col(c))), F.array_contains("_q", F.col(c))
-        place = F.when(F.col("_gap"), 0).when(F.col(c).isNull() | F.col("_q").isNull(), -1).otherwise(2 * below + F.coalesce(at, F.lit(False)).cast("int"))
-        rest = rest.join(q, same).withColumn("_k", place).drop("_q", *names)
+        q = F.percentile_approx(c, sides) if fits[i] else F.lit(None).cast("array<int>")
+        cut = rest.groupBy(*own).agg(*state, q.alias("_q"))
+        if not i:
+            cut = cut.select(*names, need.cast("bigint").alias("_need"), (F.lit(not fits[0])).alias("_gap"), "_q")
+        state = [F.first("_need").alias("_need"), F.first("_gap").alias("_gap")]
+        rest = (rest.drop("_need", "_gap") if i else rest).join(storage.counted(cut, "cut"), same).drop(*names)
+        if not fits[i]:
+            break
+        v, lo, hi = F.col(c), F.col("_q")[0], F.col("_q")[1]
+        place = F.when(F.col("_gap"), 0).when(v.isNull(), -1).when(v < lo, 0).when(v == lo, 1).when(v < hi, 2).when(v == hi, 3).otherwise(4)
+        rest = rest.withColumn("_k", place).drop("_q")
         hist = rest.groupBy(*own, "_k", "_need", "_gap").agg(F.count(F.lit(1)).alias("_c"))
         w = Window.partitionBy(*names).orderBy("_k")
-        hist = hist.withColumn("_before", F.sum("_c").over(w) - F.col("_c"))  # 2 * pieces rows a group at most
+        hist = hist.withColumn("_before", F.sum("_c").over(w) - F.col("_c"))  # six rows a group at most
         edge = hist.where((F.col("_before") <= F.col("_need")) & (F.col("_need") < F.col("_before") + F.col("_c")))
-        gap = F.col("_gap") | ((F.col("_k") >= 0) & (F.col("_k") % 2 == 0))
-        edge = storage.counted(edge.select(*names, F.col("_k").alias("_edge"), (F.col("_need") - F.col("_before")).alias("_open"), gap.alias("_g")), "cut")
+        gap = F.col("_gap") | F.col("_k").isin(0, 2, 4)
+        edge = storage.written(edge.select(*names, F.col("_k").alias("_edge"), (F.col("_need") - F.col("_before")).alias("_open"), gap.alias("_g")), "cut")
+        single = edge.where(~F.col("_g")).limit(1).count()
         # A group without an edge takes all its rows.
-        rest = rest.join(edge, same, "left").drop(*names)
+        rest = rest.join(storage.checked(edge), same, "left").drop(*names)
         done.append(rest.where(F.col("_edge").isNull() | (F.col("_k") != F.col("_edge"))).withColumn(flag, F.col("_edge").isNull() | (F.col("_k") < F.col("_edge"))).select(*df.columns, flag))
         rest = rest.where(F.col("_k") == F.col("_edge")).drop("_need", "_gap", "_k", "_edge").withColumnsRenamed({"_open": "_need", "_g": "_gap"})
-        if not edge.where(~F.col("_g")).limit(1).count():
-            break  # no cut falls on a single value
-    w = Window.partitionBy(*keys).orderBy(*order)
-    done.append(rest.withColumn(flag, F.row_number().over(w) <= F.col("_need")).select(*df.columns, flag))
+        if not single:
+            break
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    done.append(rest.withColumn(flag, rank <= F.col("_need")).select(*df.columns, flag))
     return reduce(DataFrame.unionByName, done)
 
 
 def lowest_decile(df: DataFrame, by: Sequence[str], value: str, *tie: str) -> DataFrame:
     """The lowest tenth of each group: rows with rank up to floor(n / 10)."""
-    return first_rows(df, by, [value, *tie], F.floor(F.col("_n") / 10), "_in").where("_in").drop("_in")
+    return first_rows(df, by, [value, *tie], F.floor(F.col("_n") / 10), 0.1, "_in").where("_in").drop("_in")
 
 
 def split_by_position(df: DataFrame, order: Sequence[str], validation: float) -> DataFrame:
     """Adds part: train for the first int(n * (1 - validation)) rows in order, else val."""
-    d = first_rows(df, [], order, F.floor(F.col("_n") * F.lit(1 - validation)), "_in")
+    d = first_rows(df, [], order, F.floor(F.col("_n") * F.lit(1 - validation)), 1 - validation, "_in")
     return d.withColumn("part", F.when(F.col("_in"), "train").otherwise("val")).drop("_in")
 
 

@@ -1,4 +1,4 @@
 """All queries and their SQL."""
 
-from . import pixel_queries, record_queries, report_queries  # noqa: F401
+from . import flow_queries, pixel_queries, record_queries, report_queries  # noqa: F401
 from .views import QUERIES, SQL  # noqa: F401

@@ -57,12 +57,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def counted(df: DataFrame, name: str = "counted") -> DataFrame:
-    """The frame written once and counted; broadcast only if it has BROADCAST_ROWS rows at most, else joined by shuffle."""
+def checked(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has BROADCAST_ROWS rows at most, else joined by shuffle."""
     from pyspark.sql import functions as F
 
-    out = written(df, name)
-    return F.broadcast(out) if out.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else out
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def counted(df: DataFrame, name: str = "counted") -> DataFrame:
+    """The frame written once, and checked."""
+    return checked(written(df, name))
 
 
 def dropped(*frames: DataFrame) -> None:

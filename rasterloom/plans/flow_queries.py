@@ -78,7 +78,7 @@ def tile_features(spark, d):
     return t.select("scene", "ty", "tx", *(F.round(F.col("features")[i], 6).alias(f"f{i}") for i in range(5)))
 
 
-# no SQL: checked by tests against plain versions
+# no SQL: tile_clusters and approximate_knn have tests against plain versions, trained_clusters only runs
 
 def tile_clusters(spark, d):
     return flows.tile_clusters(px(spark, d), 10, "value", 0.0, 500000.0, 5, 4)

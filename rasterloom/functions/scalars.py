@@ -22,6 +22,11 @@ def round_even(x: Column, digits: int = 0) -> Column:
     return F.rint(x) if not digits else F.bround(x, digits)
 
 
+def round_scaled(x: Column, digits: int) -> Column:
+    """Half away from zero of the scaled number, as SQL engines without decimals round; F.round takes halves of the printed digits."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """NULL on a zero or missing denominator."""
     return F.try_divide(a, b)
